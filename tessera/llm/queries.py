@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import session
 
 
+#: Tokenizer vocabulary of op2 and of the pipeline; None stands for the installed public one.
+VOCABULARY: str | None = None
+
+
+def vocabulary() -> str:
+    if VOCABULARY is not None:
+        return VOCABULARY
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def held_out(parts: int) -> Column:
+    """Whether crc32 of doc_id as text is 0 modulo ``parts``; a null doc_id isn't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == 0, F.lit(False))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import apply_rules, train
+
+    docs = session.table(spark, sf_dir, "documents")
+    out = apply_rules(docs, train(docs, session.table(spark, sf_dir, "labels")))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_digest
+
+    return bpe_digest(session.table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fm_quality import score, train
+
+    docs = session.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, train(docs, session.table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
