@@ -39,6 +39,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(session.table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(session.table(spark, sf_dir, "documents"), num=85, den=100, size=5)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fm_quality import score, train
 

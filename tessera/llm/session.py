@@ -30,11 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
+    """Write ``df`` to the shared folder and go on from there.
+
+    A checkpoint keeps the constraints that its plan implied. Over many rounds
+    they multiply, and planning outlasts the work, so they aren't derived here.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    setting = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(setting, "true")
+    spark.conf.set(setting, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def shuffle_width(spark: SparkSession) -> int:
