@@ -59,6 +59,13 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(session.table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    out = line_dedup(session.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("lines_seen").alias("n_lines"), F.col("lines_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 

@@ -34,17 +34,20 @@ def cut(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps the constraints that its plan implied. Over many rounds
     they multiply, and planning outlasts the work, so they aren't derived here.
+    The shuffle files behind a checkpoint are of no more use and go with it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    setting = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(setting, "true")
-    spark.conf.set(setting, "false")
+    settings = {"spark.sql.constraintPropagation.enabled": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        return df.checkpoint(eager=True)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        return df.select("*").checkpoint(eager=True)  # a new plan, made under these settings
     finally:
-        spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def shuffle_width(spark: SparkSession) -> int:

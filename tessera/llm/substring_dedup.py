@@ -48,7 +48,8 @@ def _send(size: int, n: int):
     return send
 
 
-def _count(rows: pa.Table) -> pa.Table:
+def count_again(rows: pa.Table) -> pa.Table:
+    """A bit for each key of each piece: whether it occurs again, in the piece or in another."""
     keys = [packed.unpack(x.as_py()) for x in rows["keys"]]
     own = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).astype(bool) for x, k in zip(rows["again"], keys)]
     order, begins, group = packed.grouped(np.concatenate(keys))
@@ -126,5 +127,5 @@ def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     n = session.pieces(spark)
     pieces = session.in_pieces(docs, "doc_id", "text", n=n)
     counted = pieces.groupBy("piece").applyInArrow(_send(size, n), COUNTED)
-    flags = counted.groupBy("bucket").applyInArrow(_count, FLAGS)
+    flags = counted.groupBy("bucket").applyInArrow(count_again, FLAGS)
     return pieces.groupBy("piece").cogroup(flags.groupBy("piece")).applyInArrow(_merge(size, n), OUT)
