@@ -64,7 +64,7 @@ class Spans:
         anchor = slide_min(windows(raw, ANCHOR), size - ANCHOR + 1)
         strings = windows(raw, size)
         new = np.ones(m, bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:m] != text[: m - 1]) | ~inside[:-1]
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:m] != text[: max(m - 1, 0)]) | ~inside[:-1]
         begin = np.flatnonzero(new & inside)
         ends = np.append(np.flatnonzero(new)[1:], m)[np.searchsorted(np.flatnonzero(new), begin)]
         ends = np.minimum(ends, offsets[1:][text[begin]] - size + 1) if len(begin) else ends
