@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from . import packed, session, sketch
 from .similarity import similar_components
 from .substring_dedup import COUNTED, FLAGS, count_again
-from .words import Alphabet, Words, buffers, mix, windows, words
+from .words import Alphabet, Words, buffers, mix, slices, windows, words
 
-SHINGLE, HASHES, ROWS = 8, 96, 4
+SHINGLE, HASHES, ROWS = 8, 64, 4
 _LINES = Alphabet.of(b"\n")
 
 
@@ -73,7 +73,7 @@ def _bands(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         shift = np.cumsum(size) - size
         take = np.arange(int(size.sum())) + np.repeat(s - shift, size)
         h, owner = _elements(data[take], shift, shift + size, own)
-        out.append(sketch.bands(sketch.minima(h, owner, len(own), HASHES), ROWS))
+        out.append(sketch.bands(sketch.signatures(h, owner, len(own), HASHES), ROWS))
     keys = np.concatenate(out) if out else np.zeros((0, HASHES // ROWS), np.uint64)
     return keys, nodes
 
@@ -127,14 +127,16 @@ def _places(batches):
     """For each line and piece: how often it occurs, and first where."""
     for batch in batches:
         data, offsets = buffers(batch["text"])
-        doc, piece = batch["doc_id"].cast(pa.int64()).to_numpy(zero_copy_only=False), batch["piece"].to_numpy(zero_copy_only=False)
-        w, node, place = lines(data, offsets)
-        order = np.lexsort((place, doc[w.text], node, piece[w.text]))
-        n, p, d, l = node[order], piece[w.text[order]], doc[w.text[order]], place[order]
-        new = np.ones(len(n), bool)
-        new[1:] = (n[1:] != n[:-1]) | (p[1:] != p[:-1])
-        at = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(p[at], pa.int32()), pa.array(np.diff(np.append(at, len(n))), pa.int64()), pa.array(d[at], pa.int64()), pa.array(l[at], pa.int64())], ["node", "piece", "times", "doc", "line"])
+        docs, pieces = batch["doc_id"].cast(pa.int64()).to_numpy(zero_copy_only=False), batch["piece"].to_numpy(zero_copy_only=False)
+        for a, b in slices(offsets):
+            doc, piece = docs[a:b], pieces[a:b]
+            w, node, place = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            order = np.lexsort((place, doc[w.text], node, piece[w.text]))
+            n, p, d, l = node[order], piece[w.text[order]], doc[w.text[order]], place[order]
+            new = np.ones(len(n), bool)
+            new[1:] = (n[1:] != n[:-1]) | (p[1:] != p[:-1])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(p[at], pa.int32()), pa.array(np.diff(np.append(at, len(n))), pa.int64()), pa.array(d[at], pa.int64()), pa.array(l[at], pa.int64())], ["node", "piece", "times", "doc", "line"])
 
 
 def _removed(columns: list[str], lost: list[str]):

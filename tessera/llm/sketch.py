@@ -48,6 +48,38 @@ def minima(h: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
     return out.reshape(n, m)
 
 
+def signatures(h: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
+    """MinHash signatures of m values (a power of two) with one hash for each element and round, an n x m array.
+
+    In each round an element falls into one of m places at random and brings a
+    random value; a place keeps the smallest value of its first round. Rounds
+    end for a set when all its places have one, which takes a long set one or
+    two rounds. Two sets agree on a place with a probability of their Jaccard
+    similarity. h, owner: as for minima. Sets without elements have all places
+    alike.
+    """
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out = np.full(n * m, empty)
+    bits = np.uint64(m.bit_length() - 1)
+    live, turn = np.arange(len(h)), 0
+    while len(live):
+        turn += 1
+        now = out.copy() if turn > 1 else out
+        for a in range(0, len(live), 1 << 18):
+            at = live[a : a + (1 << 18)]
+            u = mix(h[at] + _STEP * np.uint64(turn))
+            place = owner[at] * m + (u & np.uint64(m - 1)).astype(np.int64)
+            u >>= bits
+            if turn > 1:  # filled places stay
+                free = out[place] == empty
+                place, u = place[free], u[free]
+            np.minimum.at(now, place, u)
+        out = now
+        short = (out.reshape(n, m) == empty).any(axis=1)
+        live = live[short[owner[live]]]
+    return out.reshape(n, m)
+
+
 def registers(minimum: np.ndarray) -> np.ndarray:
     """SetSketch registers: minima on an exponential scale, truncated to 16 bits. The registers of a union are the larger of two. 0 for empty sets."""
     with np.errstate(divide="ignore"):
