@@ -67,7 +67,7 @@ def signatures(h: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
         now = out.copy() if turn > 1 else out
         for a in range(0, len(live), 1 << 18):
             at = live[a : a + (1 << 18)]
-            u = mix(h[at] + _STEP * np.uint64(turn))
+            u = mix(h[at] + np.uint64(int(_STEP) * turn % (1 << 64)))
             place = owner[at] * m + (u & np.uint64(m - 1)).astype(np.int64)
             u >>= bits
             if turn > 1:  # filled places stay
