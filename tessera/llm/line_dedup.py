@@ -2,11 +2,11 @@
 
 Equal lines are one node. A node's character shingles become a MinHash
 signature; nodes that share a band of it are candidates. To keep shuffles
-small, band keys are first counted as packed sets: documents are dealt into
-pieces by doc_id, pieces send sorted keys to buckets, and buckets answer with
-one bit for each key. Only keys that occur again become rows. Exact Jaccard
-similarity then decides, links are joined into components by distributed
-union-find, and the first line of a component, by doc_id and place, stays.
+small, band keys and nodes go to buckets as packed arrays, and only keys that
+different nodes have become rows. Exact Jaccard similarity then decides, links
+are joined into components by distributed union-find, and the first line of a
+component, by doc_id and place, stays. To take lines out, documents are dealt
+into pieces by doc_id, and each piece learns of the repeated lines it has.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from . import packed, session, sketch
 from .similarity import similar_components
-from .substring_dedup import COUNTED, FLAGS, count_again
 from .words import Alphabet, Words, buffers, mix, slices, windows, words
 
 SHINGLE, HASHES, ROWS = 8, 64, 4
@@ -55,65 +54,69 @@ def _elements(data: np.ndarray, start: np.ndarray, end: np.ndarray, node: np.nda
     return out, owner
 
 
-def _distinct(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, offsets = buffers(rows["text"])
+def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct line begins and ends, and its node."""
     w, node, _ = lines(data, offsets)
     nodes, first = np.unique(node, return_index=True)
-    return data, w.start[first], w.end[first], nodes
-
-
-def _bands(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of a piece's distinct lines, and their nodes."""
-    data, start, end, nodes = _distinct(rows)
-    out = []
-    for a in range(0, len(nodes), 2048):
-        s, e, own = start[a : a + 2048], end[a : a + 2048], nodes[a : a + 2048]
-        # only these lines' bytes, so that memory doesn't grow with the piece
-        size = e - s
-        shift = np.cumsum(size) - size
-        take = np.arange(int(size.sum())) + np.repeat(s - shift, size)
-        h, owner = _elements(data[take], shift, shift + size, own)
-        out.append(sketch.bands(sketch.signatures(h, owner, len(own), HASHES), ROWS))
-    keys = np.concatenate(out) if out else np.zeros((0, HASHES // ROWS), np.uint64)
-    return keys, nodes
-
-
-def _send(n: int):
-    def send(rows: pa.Table) -> pa.Table:
-        keys, times = np.unique(_bands(rows)[0], return_counts=True)
-        at = packed.buckets(keys, n)
-        full = np.flatnonzero(np.diff(at))
-        return pa.table({
-            "bucket": pa.array(full, pa.int32()),
-            "piece": pa.array(np.full(len(full), rows["piece"][0].as_py()), pa.int32()),
-            "keys": pa.array([packed.pack(keys[at[b] : at[b + 1]]) for b in full], pa.binary()),
-            "again": pa.array([np.packbits(times[at[b] : at[b + 1]] > 1).tobytes() for b in full], pa.binary()),
-        })
-
-    return send
-
-
-def _emit(n: int):
-    def emit(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, nodes = _bands(rows)
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        at, flags = packed.buckets(distinct, n), np.zeros(len(distinct), bool)
-        for b, x in zip(answers["bucket"].to_pylist(), answers["flags"]):
-            flags[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=at[b + 1] - at[b])
-        own, band = np.nonzero(flags[inverse.reshape(keys.shape)])
-        return pa.table({"band": pa.array(keys[own, band].view(np.int64)), "node": pa.array(nodes[own])})
-
-    return emit
+    return w.start[first], w.end[first], nodes
+
+
+def _picked(data: np.ndarray, start: np.ndarray, end: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_elements of some lines, from a copy of these lines' bytes."""
+    size = end - start
+    shift = np.cumsum(size) - size
+    take = np.arange(int(size.sum())) + np.repeat(start - shift, size)
+    return _elements(data[take], shift, shift + size, node)
+
+
+def _keys(n: int):
+    """Band keys of the distinct lines of a few megabytes, packed for each bucket with their nodes."""
+
+    def keys(batches):
+        for batch in batches:
+            data, offsets = buffers(batch["text"])
+            for a, b in slices(offsets):
+                own = data[offsets[a] : offsets[b]]
+                start, end, nodes = _distinct(own, offsets[a : b + 1] - offsets[a])
+                found = []
+                for k in range(0, len(nodes), 2048):
+                    part = slice(k, k + 2048)
+                    h, owner = _picked(own, start[part], end[part], nodes[part])
+                    found.append(sketch.bands(sketch.signatures(h, owner, len(nodes[part]), HASHES), ROWS))
+                if not found:
+                    continue
+                key, node = np.concatenate(found).ravel(), np.repeat(nodes, HASHES // ROWS)
+                order = np.argsort(key, kind="stable")
+                key, node = key[order], node[order]
+                at = packed.buckets(key, n)
+                full = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([packed.pack(key[at[i] : at[i + 1]]) for i in full], pa.binary()), pa.array([node[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())],
+                    ["bucket", "keys", "nodes"],
+                )
+
+    return keys
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """Band keys that different nodes have, with these nodes."""
+    key = np.concatenate([packed.unpack(x.as_py()) for x in rows["keys"]])
+    node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows["nodes"]])
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+    key, node = key[new], node[new]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.repeat(np.diff(np.append(heads, len(key))), np.diff(np.append(heads, len(key)))) > 1
+    return pa.table({"band": pa.array(key[many].view(np.int64)), "node": pa.array(node[many])})
 
 
 def _set_rows(rows: pa.Table, wanted: pa.Table) -> pa.Table:
     """Sets of the wanted nodes among a piece's lines."""
-    data, start, end, nodes = _distinct(rows)
+    data, offsets = buffers(rows["text"])
+    start, end, nodes = _distinct(data, offsets)
     pick = np.flatnonzero(np.isin(nodes, wanted["node"].to_numpy()))
-    s, size = start[pick], (end - start)[pick]
-    shift = np.cumsum(size) - size
-    take = np.arange(int(size.sum())) + np.repeat(s - shift, size)
-    h, owner = _elements(data[take], shift, shift + size, nodes[pick])
+    h, owner = _picked(data, start[pick], end[pick], nodes[pick])
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
@@ -196,9 +199,8 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     ids = session.in_pieces(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id", "text", n=n)
     places = session.cut(ids.mapInArrow(_places, "node long, piece int, times long, doc long, line long"))
 
-    counted = ids.groupBy("piece").applyInArrow(_send(n), COUNTED)
-    flags = counted.groupBy("bucket").applyInArrow(count_again, FLAGS)
-    bands = session.cut(ids.groupBy("piece").cogroup(flags.groupBy("piece")).applyInArrow(_emit(n), "band long, node long").distinct())
+    keys = ids.mapInArrow(_keys(n), "bucket int, keys binary, nodes binary")
+    bands = session.cut(keys.groupBy("bucket").applyInArrow(_meet, "band long, node long"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = places.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("piece").alias("piece"))
