@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("estimator_queries", "loss_queries", "row_queries", "judgment_queries", "state_queries")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -20,9 +23,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def load() -> None:
+    for name in MODULES:
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict:
+    load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(ORACLES)
