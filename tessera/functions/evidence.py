@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 
 def folded(text: str) -> str:
@@ -29,7 +30,7 @@ def quoted(quote: str | None, source: str | None) -> bool:
     return bool(parts)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def quote_found(quote: pd.Series, source: pd.Series) -> pd.Series:
     return pd.Series([quoted(q, s) for q, s in zip(quote, source)])
 
@@ -42,7 +43,7 @@ def canonical(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_hash(text: pd.Series) -> pd.Series:
     """SHA-256 of canonical JSON."""
     return pd.Series([None if (c := canonical(x)) is None else hashlib.sha256(c.encode()).hexdigest() for x in text])
