@@ -104,16 +104,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08, decay: float = 1e-5, seed: int = 7) -> Machine:
+def fit(texts: list[str | None] | pa.Array, labels: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 0.08, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Fit by adaptive gradients on logistic loss, both classes weighing alike up to a factor. No rows give a constant score."""
     random = np.random.default_rng(seed)
-    data, offsets = buffers(pa.array(texts, pa.large_string()))
+    data, offsets = buffers(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
     n = len(labels)
     cuts = np.zeros((len(STATISTICS), RANGES - 1))
     rows = []
     if n:
         stats = []
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 1 << 19):
             own, place = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             w = words(own, place, SPACED_LOWER)
             stats.append(statistics(own, place, w, w.hashes()))
@@ -123,10 +123,10 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch: in
         low, high = stats.min(axis=0), stats.max(axis=0)
         even = low[:, None] + (high - low)[:, None] * np.linspace(0, 1, RANGES // 2 + 2)[1:-1]
         cuts = np.sort(np.concatenate([by_rank, even], axis=1), axis=1)
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, 1 << 19):
             t, f, v = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], cuts)
             at = np.searchsorted(t, np.arange(b - a + 1))
-            rows += [(f[at[k] : at[k + 1]], v[at[k] : at[k + 1]]) for k in range(b - a)]
+            rows += [(f[at[k] : at[k + 1]].astype(np.int32), v[at[k] : at[k + 1]].astype(np.float32)) for k in range(b - a)]
     share = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
     m = Machine(float(np.log(share / (1 - share))), np.zeros(SIZE), random.normal(0, 0.02, (SIZE, FACTORS)), cuts)
     g0, gw, gv = 1e-8, np.full(SIZE, 1e-8), np.full((SIZE, FACTORS), 1e-8)
@@ -165,14 +165,18 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int, parts: int =
     # about as many as wanted are picked before texts are read; the limit keeps the bound exact
     share = min(1.0, 0.95 * rows / max(total, 1))
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
-    return [(r["text"], int(r["label"])) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"] or "", r["label"]))]
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
+    return [(t, int(y)) for t, y in zip(got["text"].to_pylist(), got["label"].to_pylist())]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Machine:
     """Fit on a bounded sample of labelled rows (``rows`` at most, the documented bound) outside the held-out fifth."""
     sample = training_sample(docs, labels, rows)
-    return fit([t for t, _ in sample], np.array([y for _, y in sample], float))
+    y = np.array([y for _, y in sample], float)
+    texts = pa.array([t for t, _ in sample], pa.large_string())
+    del sample
+    return fit(texts, y)
 
 
 def _scored(model, name: str):
