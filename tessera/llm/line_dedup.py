@@ -112,18 +112,27 @@ def _meet(rows: pa.Table) -> pa.Table:
 
 
 def _set_rows(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-    """Sets of the wanted nodes among a piece's lines."""
+    """The wanted nodes among a piece's lines. A set travels as its line's text, an eighth of its hashes' size."""
     data, offsets = buffers(rows["text"])
     start, end, nodes = _distinct(data, offsets)
     pick = np.flatnonzero(np.isin(nodes, wanted["node"].to_numpy()))
-    h, owner = _picked(data, start[pick], end[pick], nodes[pick])
+    raw = data.tobytes()
+    return pa.table({"node": pa.array(nodes[pick]), "items": pa.array([raw[start[k] : end[k]] for k in pick], pa.binary())})
+
+
+def _shingles(column) -> list[np.ndarray]:
+    """Sets of lines that are sent as text."""
+    raw = [x.as_py() for x in column]
+    size = np.array([len(x) for x in raw], np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    w = Words(data, np.cumsum(size) - size, np.cumsum(size), np.arange(len(raw)), np.arange(len(raw) + 1))
+    h, owner = _elements(data, w.start, w.end, w.hashes().view(np.int64))
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h, owner = h[new], owner[new]
-    at = np.searchsorted(owner, np.arange(len(pick) + 1))
-    return pa.table({"node": pa.array(nodes[pick]), "items": pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(len(pick))], pa.binary())})
+    return np.split(h, np.searchsorted(owner, np.arange(1, len(raw))))
 
 
 def _places(batches):
@@ -206,7 +215,7 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
         wanted = places.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("piece").alias("piece"))
         return ids.groupBy("piece").cogroup(wanted.groupBy("piece")).applyInArrow(_set_rows, "node long, items binary")
 
-    roots, _ = similar_components(bands, sets_of, num, den)
+    roots, _ = similar_components(bands, sets_of, num, den, decode=_shingles)
     first = F.min(F.struct("doc", "line", "node")).alias("first")
     nodes = places.groupBy("node").agg(F.sum("times").alias("times"), first)
     classes = nodes.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))

@@ -24,7 +24,8 @@ from .session import cut
 BLOCK = 256
 
 
-def _sets(column) -> list[np.ndarray]:
+def hashed_sets(column) -> list[np.ndarray]:
+    """Sets that are sent as their sorted distinct hashes."""
     return [np.frombuffer(x.as_py(), np.uint64) for x in column]
 
 
@@ -32,10 +33,10 @@ def _similar(common, x, y, num: int, den: int):
     return den * common >= num * (x + y - common)
 
 
-def _verified(num: int, den: int):
+def _verified(num: int, den: int, sets):
     def verified(batches):
         for batch in batches:
-            a, b = _sets(batch["a_items"]), _sets(batch["b_items"])
+            a, b = sets(batch["a_items"]), sets(batch["b_items"])
             ok = [_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den) for x, y in zip(a, b)]
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
@@ -43,14 +44,14 @@ def _verified(num: int, den: int):
     return verified
 
 
-def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, decode=hashed_sets) -> DataFrame:
     """Those of pairs (a, b) whose sets (node, items) have a similarity of num / den or more."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_items", "b_items").mapInArrow(_verified(num, den), "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_items", "b_items").mapInArrow(_verified(num, den, decode), "a long, b long")
 
 
-def _forest(num: int, den: int):
+def _forest(num: int, den: int, sets):
     """Links between components among the members of two blocks."""
 
     def forest(rows: pa.Table) -> pa.Table:
@@ -58,7 +59,7 @@ def _forest(num: int, den: int):
         left, right = rows["block"].to_numpy() == rows["i"].to_numpy(), rows["block"].to_numpy() == rows["j"].to_numpy()
         out: list[tuple[int, int]] = []
         if len(np.unique(own)) > 1:
-            items = _sets(rows["items"])
+            items = sets(rows["items"])
             size = np.array([len(x) for x in items])
             flat, member = np.concatenate(items), np.repeat(np.arange(len(items)), size)
             values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -99,10 +100,11 @@ def _forest(num: int, den: int):
     return forest
 
 
-def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, screen: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, screen: Callable[[DataFrame], DataFrame] | None = None, decode=hashed_sets) -> tuple[DataFrame, DataFrame]:
     """bands: band and node, both long, each pair once. sets_of: from distinct
-    nodes to their sets (node, items: sorted distinct 64-bit hashes as bytes).
-    screen: may drop pairs (a, b) before they are verified.
+    nodes to their sets (node, items: binary, which ``decode`` makes sorted
+    distinct 64-bit hashes of). screen: may drop pairs (a, b) before they are
+    verified.
 
     Returns the components (node, root) of all nodes linked with others, and
     the links found (a, b), which join each component.
@@ -117,7 +119,7 @@ def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFram
     members = cut(met.drop("size").join(buckets.select("band", "leader", "size"), "band"))
     pairs = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     sets = cut(sets_of(members.select("node").distinct()))
-    links = cut(verify(screen(pairs) if screen else pairs, sets, num, den))
+    links = cut(verify(screen(pairs) if screen else pairs, sets, num, den, decode))
     roots = components(links)
     placed = members.filter("size > 2 AND node != leader").join(roots, "node", "left").select("band", "size", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
@@ -126,7 +128,7 @@ def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFram
     dealt = placed.join(mixed, "band").withColumn("parts", parts).withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(sets, "node")
-    rest = cut(dealt.groupBy("band", "i", "j").applyInArrow(_forest(num, den), "a long, b long"))
+    rest = cut(dealt.groupBy("band", "i", "j").applyInArrow(_forest(num, den, decode), "a long, b long"))
     if rest.isEmpty():
         return roots, links
     stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
