@@ -6,7 +6,8 @@ it with the smallest hash, which is the same wherever the string stands. Strings
 at neighbouring places mostly share their anchor; what they cover together is a
 span. A first exchange finds which anchors have several spans, and which
 document first has each span: later documents lose the whole span, and a span
-whose anchor has no other can't share a string with anything.
+can't share a string with anything unless another one with its anchor agrees
+with it on one side of the anchor as well.
 
 The spans left, one copy of each, are the shards' text. A shard's suffixes are
 sorted by external induction (see ``induced``), whose queues go to disk beyond a
@@ -32,7 +33,7 @@ ANCHOR = 24
 MANY = 64
 _NO_ID = np.iinfo(np.int64).max
 
-ANCHORS = "bucket int, piece int, keys binary, spans binary, docs binary, which binary"
+ANCHORS = "bucket int, piece int, keys binary, spans binary, sides binary, docs binary, which binary"
 STATES = "kind int, piece int, bucket int, a binary"
 SPANS = "bucket int, piece int, bytes binary, sizes binary, docs binary, which binary"
 OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
@@ -61,7 +62,8 @@ class Spans:
         text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         m = max(len(data) - size + 1, 0)
         inside = text[:m] == text[len(data) - m :]
-        anchor = slide_min(windows(raw, ANCHOR), size - ANCHOR + 1)
+        grams = windows(raw, ANCHOR)
+        anchor = slide_min(grams, size - ANCHOR + 1)
         strings = windows(raw, size)
         new = np.ones(m, bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:m] != text[: max(m - 1, 0)]) | ~inside[:-1]
@@ -78,6 +80,7 @@ class Spans:
         key = anchor[self.begin]
         self.strings = strings
         name = mix(strings[self.begin] ^ mix(strings[self.begin + self.count - 1] + self.count.astype(np.uint64)))
+        self.sides = _sides(grams, key, self.begin, self.count, name, size)
         order = np.lexsort((self.doc, name, key))
         k, s = key[order], name[order]
         head = np.ones(len(order), bool)
@@ -96,6 +99,28 @@ class Spans:
         return out
 
 
+def _sides(grams: np.ndarray, key: np.ndarray, begin: np.ndarray, count: np.ndarray, name: np.ndarray, size: int) -> np.ndarray:
+    """What stands on both sides of each span's anchor, 16 bits of a hash each, and whether that can't be told.
+
+    A string that two spans share reaches at least half of what it has besides
+    the anchor to one side of it, so the spans agree there. A side that no
+    string of the span fills so far has a value of the span's own. An anchor
+    that occurs again in its span says nothing.
+    """
+    reach = size - ANCHOR
+    half, last = reach // 2, begin + count - 1
+    times, place = np.zeros(len(begin), np.int64), begin.copy()
+    for j in range(int(count.max(initial=0)) + reach):
+        hit = (j < count + reach) & (grams[np.minimum(begin + j, len(grams) - 1)] == key)
+        times += hit
+        place[hit] = begin[hit] + j
+    top = len(grams) - 1
+    left = np.where(place - half >= begin, mix(grams[np.clip(place - half, 0, max(top, 0))]) if len(begin) else name, name)
+    right = np.where(place + half + ANCHOR <= last + size, mix(grams[np.clip(place + half, 0, max(top, 0))]) if len(begin) else name, ~name)
+    half_word = np.uint64(0xFFFF)
+    return ((left & half_word) << np.uint64(24)) | ((right & half_word) << np.uint64(8)) | (times != 1).astype(np.uint64)
+
+
 def _table(x: np.ndarray) -> tuple[bytes, bytes]:
     values, which = np.unique(x, return_inverse=True)
     return values.tobytes(), packed.small(which)
@@ -104,12 +129,12 @@ def _table(x: np.ndarray) -> tuple[bytes, bytes]:
 def _send(size: int, n: int):
     def send(rows: pa.Table) -> pa.Table:
         x = Spans(rows, size, n)
-        piece, out = rows["piece"][0].as_py(), []
+        piece, out, sides = rows["piece"][0].as_py(), [], x.sides[x.first]
         for b in np.flatnonzero(np.diff(x.at)):
             s = slice(x.at[b], x.at[b + 1])
-            out.append((int(b), piece, packed.pack(x.key[s]), packed.squeeze(x.name[s]), *_table(x.least[s])))
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "piece", "keys", "spans", "docs", "which"])
+            out.append((int(b), piece, packed.pack(x.key[s]), packed.squeeze(x.name[s]), packed.squeeze(sides[s]), *_table(x.least[s])))
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "piece", "keys", "spans", "sides", "docs", "which"])
 
     return send
 
@@ -129,8 +154,16 @@ def _judge(rows: pa.Table) -> pa.Table:
     new_key = np.append(True, k[1:] != k[:-1])
     head = new_key | np.append(True, s[1:] != s[:-1])
     least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    spans = np.add.reduceat(head.astype(np.int64), np.flatnonzero(new_key))[np.cumsum(new_key) - 1]
-    state = np.where(doc[order] > least, EARLIER, np.where(spans > MANY, HOT, np.where(spans > 1, COMPARE, ALONE))).astype(np.uint8)
+    side = np.concatenate([packed.unsqueeze(x.as_py(), np.uint64) for x in rows["sides"]])[order][head]
+    group = (np.cumsum(new_key) - 1)[head]
+    spans = np.bincount(group)[group]
+    unclear = np.bincount(group, weights=(side & np.uint64(1)).astype(float))[group] > 0
+    near = unclear
+    for shift in (24, 8):
+        _, which, times = np.unique((group << 16) | ((side >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True, return_counts=True)
+        near = near | (times[which] > 1)
+    compare = np.where(near & (spans > 1), np.where(spans > MANY, HOT, COMPARE), ALONE)[np.cumsum(head) - 1]
+    state = np.where(doc[order] > least, EARLIER, compare).astype(np.uint8)
     back = np.empty(len(order), np.uint8)
     back[order] = state
     parts = np.split(back, cuts)

@@ -375,3 +375,26 @@ def test_components(spark):
         groups[top(parent, v)].add(got[v])
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_suffix_dedup_of_periodic_texts(spark):
+    from tessera.llm.suffix_dedup import suffix_dedup
+
+    draw = random.Random(8)
+    rows = []
+    for i in range(120):
+        unit = "".join(draw.choice("ab") for _ in range(draw.randint(1, 9)))
+        mid = "".join(draw.choice("abc") for _ in range(draw.randint(0, 40)))
+        rows.append((i, unit * draw.randint(0, 30) + mid + (rows[draw.randrange(i)][1][draw.randint(0, 30) :] if i else "")[:150]))
+    first = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    want = []
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        want.append((i, bytes(c for c, g in zip(t.encode(), gone) if not g)))
+    same([(r.doc_id, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()], want)
