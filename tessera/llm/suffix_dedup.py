@@ -263,6 +263,11 @@ def _remove(size: int, n: int):
                 at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
                 starts[at[own]] = True
                 hot.append(at[own & np.repeat(count == 1, count)])
+        # a span was sent for one place; its other places in that document lose the same strings
+        again = np.flatnonzero((state[x.of] == COMPARE) & (x.doc == x.least[x.of]) & (x.first[x.of] != np.arange(len(x.of))))
+        many = x.count[again]
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        starts[np.repeat(x.begin[again], many) + step] |= starts[np.repeat(x.begin[x.first[x.of[again]]], many) + step]
         hot_spans = np.flatnonzero(state[x.of] == HOT)
         if len(hot_spans):  # strings sent for one place stand for all equal ones; a later document here loses them anyway
             many = x.count[hot_spans]

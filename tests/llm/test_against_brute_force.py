@@ -398,3 +398,31 @@ def test_suffix_dedup_of_periodic_texts(spark):
                 gone[p : p + 50] = b"\1" * 50
         want.append((i, bytes(c for c, g in zip(t.encode(), gone) if not g)))
     same([(r.doc_id, bytes(r.kept)) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()], want)
+
+
+@pytest.mark.parametrize("many", [0, 64])
+def test_suffix_dedup_of_passages_repeated_in_a_document(spark, many, monkeypatch):
+    """A passage with the same surroundings twice in a document, or in two rows of one, of which an earlier document has a part."""
+    from tessera.llm import suffix_dedup as S
+
+    monkeypatch.setattr(S, "MANY", many)
+    draw = random.Random(12)
+    text = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for k in range(0, 60, 3):
+        shared, left, right = text(draw.randint(50, 300)), text(120), text(120)
+        rows.append((k, text(130) + shared + text(130)))
+        rows.append((k + 1, "".join(left + shared + right + text(90) for _ in range(draw.randint(2, 4)))))
+        rows += [(k + 2, text(80) + left + shared + right), (k + 2, left + shared + right + text(70))]
+    first = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    want = []
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        want.append((i, len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(t.encode(), gone) if not g)))
+    same([(r.doc_id, len(r.spans), bytes(r.kept)) for r in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()], want)
