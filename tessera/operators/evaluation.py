@@ -60,24 +60,41 @@ def bootstrap(df: DataFrame, group: list[str], value: str, pos: str, size: int,
     share: a row's values are gathered into an array, so a group is one row.
     """
     index = F.broadcast(df.sparkSession.createDataFrame([(bootstrap_index(size, subset, draws, seed),)], "_index array<array<int>>"))
-    packed = F.array_sort(F.collect_list(F.struct(pos, F.col(value).cast("double").alias("_v"), (F.col(vote) if vote else F.lit("")).cast("string").alias("_k"))))
-    rows = df.groupBy(*group).agg(packed.alias("_x")).filter(F.size("_x") == size).crossJoin(index)
-    values = F.col("_x")["_v"]
+    rows = df.groupBy(*group).agg(_gathered(pos, value, vote)).filter(F.size("_x") == size).crossJoin(index)
+    return rows.select(*group, F.transform("_index", _taker(kind)).alias("_d")).withColumn("mean", _mean("_d", draws)).withColumn("std", _std("_d", F.col("mean"), draws)).select(*group, "mean", "std")
+
+
+def _gathered(pos: str, value: str, vote: str | None) -> Column:
+    """A group's values and votes in order."""
+    return F.array_sort(F.collect_list(F.struct(pos, F.col(value).cast("double").alias("_v"), (F.col(vote) if vote else F.lit("")).cast("string").alias("_k")))).alias("_x")
+
+
+def _taker(kind: str):
+    """From drawn places to the best, worst or majority value there."""
+
+    def once(x, f):  # an expression named in a lambda is computed for each element, an argument is not
+        return F.get(F.transform(F.array(x), f), 0)
 
     def one(places):
-        taken = F.transform(places, lambda i: F.get(values, i))
+        taken = F.transform(places, lambda i: F.get("_x", i)["_v"])
         if kind == "best":
             return F.array_max(taken)
         if kind == "worst":
             return F.array_min(taken)
-        keys = F.transform(places, lambda i: F.get(F.col("_x")["_k"], i))
-        times = F.transform(keys, lambda k: F.size(F.filter(keys, lambda q: q == k)))
-        return F.get(taken, (F.array_position(times, F.array_max(times)) - 1).cast("int"))
+        keys = F.transform(places, lambda i: F.get("_x", i)["_k"])
+        times = once(keys, lambda keys: F.transform(keys, lambda k: F.size(F.filter(keys, lambda q: q == k))))
+        at = once(times, lambda times: (F.array_position(times, F.array_max(times)) - 1).cast("int"))
+        return F.get("_x", F.get(places, at))["_v"]
+
+    return one
+
+
+def _mean(drawn: str, draws: int) -> Column:
+    return F.aggregate(drawn, F.lit(0.0), lambda s, x: s + x) / draws
+
 
-    drawn = rows.select(*group, F.transform("_index", one).alias("_d"))
-    mean = F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / draws
-    square = F.aggregate("_d", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / draws
-    return drawn.withColumn("mean", mean).withColumn("std", F.sqrt(square)).select(*group, "mean", "std")
+def _std(drawn: str, mean: Column, draws: int) -> Column:
+    return F.sqrt(F.aggregate(drawn, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / draws)
 
 
 def validation_metrics(df: DataFrame, source="source", uid="uid", value="value", pos="pos", vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
@@ -86,12 +103,16 @@ def validation_metrics(df: DataFrame, source="source", uid="uid", value="value",
     n = F.col("n").cast("string")
     out = groups.select(source, F.explode(F.array(F.struct(F.concat(F.lit("mean@"), n).alias("metric"), F.col("mean").alias("value")), F.struct(F.concat(F.lit("std@"), n).alias("metric"), F.when(F.col("n") > 1, F.col("std")).alias("value")))).alias("_m")).select(source, "_m.*").filter("value IS NOT NULL")
     sizes = [r[0] for r in groups.select("n").distinct().collect()]  # sizes of groups, few whatever the table
-    for size in sorted(sizes):
-        for k in subset_sizes(size):
-            for kind in ("best", "worst", *(["maj"] if vote else [])):
-                got = bootstrap(df, [source, uid], value, pos, size, k, kind, draws, seed, vote)
-                for part in ("mean", "std"):
-                    out = out.unionByName(got.select(source, F.lit(f"{kind}@{k}/{part}").alias("metric"), F.col(part).alias("value")))
+    kinds = ("best", "worst", *(["maj"] if vote else []))
+    # one table of drawn places for all sizes, so that groups are gathered once; a fixed count of partitions, as drawing is long and its input small
+    drawn = [(n, k, bootstrap_index(n, k, draws, seed)) for n in sorted(sizes) for k in subset_sizes(n)]
+    index = F.broadcast(df.sparkSession.createDataFrame(drawn, "_n int, _s int, _index array<array<int>>", verifySchema=False))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(parts, source, uid).groupBy(source, uid).agg(_gathered(pos, value, vote)).withColumn("_n", F.size("_x")).join(index, "_n")
+    rows = rows.select(source, "_s", *[F.transform("_index", _taker(kind)).alias(kind) for kind in kinds]).select("*", *[_mean(kind, draws).alias(f"{kind}_mean") for kind in kinds])
+    name = lambda kind, part: F.concat(F.lit(f"{kind}@"), F.col("_s").cast("string"), F.lit(f"/{part}")).alias("metric")
+    found = [F.struct(name(kind, part), x.alias("value")) for kind in kinds for part, x in (("mean", F.col(f"{kind}_mean")), ("std", _std(kind, F.col(f"{kind}_mean"), draws)))]
+    out = out.unionByName(rows.select(source, F.explode(F.array(*found)).alias("_m")).select(source, "_m.*"))
     return out.groupBy(source, "metric").agg(F.avg("value").alias("value"))
 
 

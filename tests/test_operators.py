@@ -81,6 +81,37 @@ def test_micro_batches():
     assert balance.micro_batch_count(100, 30, 10) == 4 and balance.micro_batch_count(100, 30, 10, 3) == 6 and balance.micro_batch_count(100, 1, 10) == 10
 
 
+def test_validation_query_takes_all_events(spark, tmp_path):
+    """Groups of 1 to 7 samples, each metric against 1000 draws repeated in NumPy."""
+    from tessera.plans import catalog
+
+    rows, at = [], 0
+    for u, n in enumerate([1, 2, 5, 5, 7, 6]):
+        for _ in range(n):
+            rows.append((at, u, "ab"[u % 2], (at * 37 % 23) / 7, '{"k": %d}' % (at * 5 % 3)))
+            at += 1
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for u, source in enumerate("ababab"):
+        mine = [(r[3], r[4]) for r in rows if r[1] == u]
+        n, x = len(mine), np.array([v for v, _ in mine])
+        put = lambda name, v, source=source: want.setdefault((source, name), []).append(v)
+        put(f"mean@{n}", x.mean())
+        for k in [] if n == 1 else [k for k in (2, 4) if k < n] + [n]:
+            draws = np.random.RandomState(42).choice(n, size=(1000, k), replace=True)
+            votes = []
+            for d in draws:
+                keys = [mine[i][1] for i in d]
+                votes.append(x[d[keys.index(max(keys, key=keys.count))]])
+            for kind, y in (("best", x[draws].max(1)), ("worst", x[draws].min(1)), ("maj", votes)):
+                put(f"{kind}@{k}/mean", np.mean(y))
+                put(f"{kind}@{k}/std", np.std(y))
+        if n > 1:
+            put(f"std@{n}", x.std())
+    got = {(r.source, r.metric): r.value for r in catalog.queries()["a16_validation_metrics"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({k: np.mean(v) for k, v in want.items()})
+
+
 def test_bootstrap_repeats_numpy_draws(spark):
     values = [0.1, 0.9, 0.4, 0.7]
     df = spark.createDataFrame([("s", "u", k, v, "ab"[k % 2]) for k, v in enumerate(values)], "source string, uid string, pos int, value double, vote string")
