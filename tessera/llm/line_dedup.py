@@ -13,60 +13,79 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, session, sketch
 from .similarity import similar_components
-from .words import Alphabet, Words, buffers, mix, slices, windows, words
+from .words import buffers, mix, slices
 
+#: Characters of a shingle, values of a signature, and values of a band.
 SHINGLE, HASHES, ROWS = 8, 64, 4
-_LINES = Alphabet.of(b"\n")
-
-
-def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """All lines that aren't blank, the node of each, and its place among its text's lines."""
-    w = words(data, offsets, _LINES)
-    solid = np.ones(256, np.int64)
-    solid[[0x20, *range(0x09, 0x0E)]] = 0
-    seen = np.concatenate([[0], np.cumsum(solid[data])])
-    keep = seen[w.end] > seen[w.start]
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    place = breaks[w.start] - breaks[offsets[:-1]][w.text]
-    node = w.hashes().view(np.int64)
-    w = Words(w.data, w.start[keep], w.end[keep], w.text[keep], np.searchsorted(w.text[keep], np.arange(len(offsets))))
-    return w, node[keep], place[keep]
-
-
-def _elements(data: np.ndarray, start: np.ndarray, end: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of lines and the line of each, repeated shingles included; a line shorter than a shingle has one, itself."""
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    a, b = before[start], before[end]
-    h = windows(points.astype(np.uint64) + np.uint64(1), SHINGLE)
-    many = np.maximum(b - a - SHINGLE + 1, 1)
-    owner = np.repeat(np.arange(len(start)), many)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + a[owner]
-    short = (b - a < SHINGLE)[owner]
-    out = np.empty(len(owner), np.uint64)
-    out[~short] = h[at[~short]]
-    out[short] = mix(node[owner[short]].view(np.uint64))
-    return out, owner
-
-
-def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each distinct line begins and ends, and its node."""
-    w, node, _ = lines(data, offsets)
-    nodes, first = np.unique(node, return_index=True)
-    return w.start[first], w.end[first], nodes
 
 
-def _picked(data: np.ndarray, start: np.ndarray, end: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """_elements of some lines, from a copy of these lines' bytes."""
-    size = end - start
-    shift = np.cumsum(size) - size
-    take = np.arange(int(size.sum())) + np.repeat(start - shift, size)
-    return _elements(data[take], shift, shift + size, node)
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All lines that aren't blank, the node of each, its text, and its place among its text's lines."""
+    raw, found, text, place = data.tobytes(), [], [], []
+    for t, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for k, line in enumerate(raw[a:b].split(b"\n")):
+            if line and not line.isspace():
+                found.append(line)
+                text.append(t)
+                place.append(k)
+    node = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)).view(np.int64)
+    return found, node, np.array(text, np.int64), np.array(place, np.int64)
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _shingles(line: bytes) -> np.ndarray:
+    """A word of 64 bits for each run of 8 characters, none for a shorter line.
+
+    Characters up to U+00FF take a byte each, so a word is the run itself; a
+    higher one is spread over the word.
+    """
+    if not line.isascii():
+        s = line.decode("utf-8", "replace")
+        try:
+            line = s.encode("latin-1")
+        except UnicodeEncodeError:
+            c = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
+            high = c > 255
+            c[high] = mix(c[high])
+            for step in (1, 2, 4):
+                c = c[:-step] ^ _turn(c[step:], 8 * step)
+            return c
+    n = len(line) - SHINGLE + 1
+    return np.ndarray((n,), "<u8", line, 0, (1,)) if n > 0 else np.zeros(0, np.uint64)
+
+
+def _signatures(found: list[bytes], node: np.ndarray) -> np.ndarray:
+    """MinHash signatures of lines; a line shorter than a shingle has one element, itself."""
+    own = [_shingles(x) for x in found]
+    size = np.array([len(x) for x in own], np.int64)
+    few = np.flatnonzero(size == 0)
+    for k in few:
+        own[k] = node[k : k + 1].view(np.uint64)
+    size[few] = 1
+    return sketch.signatures(np.concatenate(own), np.repeat(np.arange(len(own)), size), len(own), HASHES)
+
+
+def sets(column) -> list[np.ndarray]:
+    """Sets that are sent as their line's text."""
+    out = []
+    for x in column:
+        line = x.as_py()
+        h = np.sort(_shingles(line))
+        if not len(h):
+            h = np.array([xxhash.xxh3_64_intdigest(line)], np.uint64)
+        new = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=new[1:])
+        out.append(h[new])
+    return out
 
 
 def _keys(n: int):
@@ -76,17 +95,19 @@ def _keys(n: int):
         for batch in batches:
             data, offsets = buffers(batch["text"])
             for a, b in slices(offsets):
-                own = data[offsets[a] : offsets[b]]
-                start, end, nodes = _distinct(own, offsets[a : b + 1] - offsets[a])
-                found = []
-                for k in range(0, len(nodes), 2048):
-                    part = slice(k, k + 2048)
-                    h, owner = _picked(own, start[part], end[part], nodes[part])
-                    found.append(sketch.bands(sketch.signatures(h, owner, len(nodes[part]), HASHES), ROWS))
-                if not found:
+                found, node, _, _ = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                nodes, first = np.unique(node, return_index=True)
+                if not len(nodes):
                     continue
-                key, node = np.concatenate(found).ravel(), np.repeat(nodes, HASHES // ROWS)
-                order = np.argsort(key, kind="stable")
+                # lines are taken together as long as their shingles fit a processor's cache
+                ends = np.cumsum([len(found[k]) for k in first])
+                key, at = np.empty((len(nodes), HASHES // ROWS), np.uint64), 0
+                while at < len(nodes):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 17), side="right")))
+                    key[at:to] = sketch.bands(_signatures([found[k] for k in first[at:to]], nodes[at:to]), ROWS)
+                    at = to
+                key, node = key.ravel(), np.repeat(nodes, HASHES // ROWS)
+                order = np.argsort(key)
                 key, node = key[order], node[order]
                 at = packed.buckets(key, n)
                 full = np.flatnonzero(np.diff(at))
@@ -102,59 +123,80 @@ def _meet(rows: pa.Table) -> pa.Table:
     """Band keys that different nodes have, with these nodes."""
     key = np.concatenate([packed.unpack(x.as_py()) for x in rows["keys"]])
     node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows["nodes"]])
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(heads, len(key)))
+    shared = np.repeat(size > 1, size)  # most keys are one line's
+    key, node = key[shared], node[shared]
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     key, node = key[new], node[new]
-    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    many = np.repeat(np.diff(np.append(heads, len(key))), np.diff(np.append(heads, len(key)))) > 1
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(heads, len(key)))
+    many = np.repeat(size > 1, size)
     return pa.table({"band": pa.array(key[many].view(np.int64)), "node": pa.array(node[many])})
 
 
 def _set_rows(rows: pa.Table, wanted: pa.Table) -> pa.Table:
     """The wanted nodes among a piece's lines. A set travels as its line's text, an eighth of its hashes' size."""
     data, offsets = buffers(rows["text"])
-    start, end, nodes = _distinct(data, offsets)
+    found, node, _, _ = _lines(data, offsets)
+    nodes, first = np.unique(node, return_index=True)
     pick = np.flatnonzero(np.isin(nodes, wanted["node"].to_numpy()))
-    raw = data.tobytes()
-    return pa.table({"node": pa.array(nodes[pick]), "items": pa.array([raw[start[k] : end[k]] for k in pick], pa.binary())})
-
-
-def _shingles(column) -> list[np.ndarray]:
-    """Sets of lines that are sent as text."""
-    raw = [x.as_py() for x in column]
-    size = np.array([len(x) for x in raw], np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    w = Words(data, np.cumsum(size) - size, np.cumsum(size), np.arange(len(raw)), np.arange(len(raw) + 1))
-    h, owner = _elements(data, w.start, w.end, w.hashes().view(np.int64))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    return np.split(h, np.searchsorted(owner, np.arange(1, len(raw))))
-
-
-def _places(batches):
-    """For each line and piece: how often it occurs, and first where."""
-    for batch in batches:
-        data, offsets = buffers(batch["text"])
-        docs, pieces = batch["doc_id"].cast(pa.int64()).to_numpy(zero_copy_only=False), batch["piece"].to_numpy(zero_copy_only=False)
-        for a, b in slices(offsets):
-            doc, piece = docs[a:b], pieces[a:b]
-            w, node, place = lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            order = np.lexsort((place, doc[w.text], node, piece[w.text]))
-            n, p, d, l = node[order], piece[w.text[order]], doc[w.text[order]], place[order]
-            new = np.ones(len(n), bool)
-            new[1:] = (n[1:] != n[:-1]) | (p[1:] != p[:-1])
-            at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(n[at]), pa.array(p[at], pa.int32()), pa.array(np.diff(np.append(at, len(n))), pa.int64()), pa.array(d[at], pa.int64()), pa.array(l[at], pa.int64())], ["node", "piece", "times", "doc", "line"])
+    return pa.table({"node": pa.array(nodes[pick]), "items": pa.array([found[k] for k in first[pick]], pa.binary())})
+
+
+def _entries(n: int):
+    """For each line and piece how often it occurs and first where, packed for each bucket of lines."""
+
+    def entries(batches):
+        for batch in batches:
+            data, offsets = buffers(batch["text"])
+            docs, pieces = batch["doc_id"].cast(pa.int64()).to_numpy(zero_copy_only=False), batch["piece"].to_numpy(zero_copy_only=False)
+            for a, b in slices(offsets):
+                doc, piece = docs[a:b], pieces[a:b]
+                _, node, text, place = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                if not len(node):
+                    continue
+                bucket = node % n
+                order = np.lexsort((place, doc[text], piece[text], node.view(np.uint64), bucket))
+                m, p, d, l, k = node[order], piece[text[order]].astype(np.int64), doc[text[order]], place[order], bucket[order]
+                new = np.ones(len(m), bool)
+                new[1:] = (m[1:] != m[:-1]) | (p[1:] != p[:-1])
+                at = np.flatnonzero(new)
+                times, m, p, d, l, k = np.diff(np.append(at, len(m))), m[at], p[at], d[at], l[at], k[at]
+                edge = np.searchsorted(k, np.arange(n + 1))
+                full = np.flatnonzero(np.diff(edge))
+                cuts = [slice(edge[i], edge[i + 1]) for i in full]
+                columns = [[packed.pack(m[s].view(np.uint64)) for s in cuts], [packed.squeeze(d[s]) for s in cuts], *([packed.small(x[s]) for s in cuts] for x in (p, times, l))]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "nodes", "docs", "pieces", "times", "places"])
+
+    return entries
+
+
+def _places(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+    """Lines that occur more than once or are wanted, a row for each piece that has them."""
+    if not rows.num_rows:
+        return pa.table({c: pa.array([], pa.int32() if c == "piece" else pa.int64()) for c in ("node", "piece", "times", "doc", "line")})
+    node = np.concatenate([packed.unpack(x.as_py()) for x in rows["nodes"]]).view(np.int64)
+    doc = np.concatenate([packed.unsqueeze(x.as_py(), np.int64) for x in rows["docs"]])
+    piece, times, line = (np.concatenate([packed.unsmall(x.as_py()) for x in rows[c]]) for c in ("pieces", "times", "places"))
+    order = np.argsort(node)
+    s = node[order]
+    heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    total = np.add.reduceat(times[order], heads)
+    keep = (total > 1) | np.isin(s[heads], wanted["node"].to_numpy())
+    pick = order[np.repeat(keep, np.diff(np.append(heads, len(s))))]
+    return pa.table({"node": pa.array(node[pick]), "piece": pa.array(piece[pick], pa.int32()), "times": pa.array(times[pick]), "doc": pa.array(doc[pick]), "line": pa.array(line[pick])})
 
 
 def _removed(columns: list[str], lost: list[str]):
     def removed(rows: pa.Table, marks: pa.Table) -> pa.Table:
         data, offsets = buffers(rows["text"])
-        w, node, place = lines(data, offsets)
+        _, node, text, place = _lines(data, offsets)
         gone = np.zeros(len(node), bool)
         ids = rows["doc_id"]
         if marks.num_rows and len(node):
@@ -165,17 +207,21 @@ def _removed(columns: list[str], lost: list[str]):
             keep_doc, keep_line = marks["doc"].to_numpy()[order], marks["line"].to_numpy()[order]
             keep_node = marks["keeper"].to_numpy()[order]
             k = np.minimum(np.searchsorted(m, node), len(m) - 1)
-            gone = (m[k] == node) & known[w.text]
-            gone &= ~((keep_doc[k] == doc[w.text]) & (keep_line[k] == place) & (keep_node[k] == node))
-        cut = np.bincount(w.text[gone], minlength=rows.num_rows)
-        texts = rows["text"].to_pylist()
-        at = np.searchsorted(w.text, np.arange(rows.num_rows + 1))
+            gone = (m[k] == node) & known[text]
+            gone &= ~((keep_doc[k] == doc[text]) & (keep_line[k] == place) & (keep_node[k] == node))
+        cut = np.bincount(text[gone], minlength=rows.num_rows)
+        seen = np.bincount(text, minlength=rows.num_rows)
+        at, raw, texts, last = np.searchsorted(text, np.arange(rows.num_rows + 1)), data.tobytes(), [], 0
+        column = rows["text"].combine_chunks()
+        column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
         for t in np.flatnonzero(cut):
             drop = set(place[at[t] : at[t + 1]][gone[at[t] : at[t + 1]]].tolist())
-            texts[t] = "\n".join(x for i, x in enumerate(texts[t].split("\n")) if i not in drop)
-        out = [pa.array(texts, pa.string()) if c == "text" else rows[c] for c in columns]
-        left = np.diff(w.first) - cut
-        return pa.table([*out, pa.array(np.diff(w.first), pa.int64()), pa.array(cut, pa.int64()), pa.array(left, pa.int64())], names=[*columns, *lost])
+            left = b"\n".join(x for i, x in enumerate(raw[offsets[t] : offsets[t + 1]].split(b"\n")) if i not in drop)
+            texts += [column.slice(last, t - last), pa.array([left], column.type)]
+            last = t + 1
+        texts.append(column.slice(last))
+        out = [pa.concat_arrays(texts) if c == "text" else rows[c] for c in columns]
+        return pa.table([*out, pa.array(seen, pa.int64()), pa.array(cut, pa.int64()), pa.array(seen - cut, pa.int64())], names=[*columns, *lost])
 
     return removed
 
@@ -206,16 +252,17 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
 
     lost = [free("lines_seen"), free("lines_removed"), free("lines_left")]
     ids = session.in_pieces(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id", "text", n=n)
-    places = session.cut(ids.mapInArrow(_places, "node long, piece int, times long, doc long, line long"))
-
     keys = ids.mapInArrow(_keys(n), "bucket int, keys binary, nodes binary")
     bands = session.cut(keys.groupBy("bucket").applyInArrow(_meet, "band long, node long"))
+    entries = ids.mapInArrow(_entries(n), "bucket int, nodes binary, docs binary, pieces binary, times binary, places binary")
+    wanted = bands.select("node").distinct().withColumn("bucket", F.pmod("node", F.lit(n)).cast("int"))
+    places = session.cut(entries.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_places, "node long, piece int, times long, doc long, line long"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = places.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("piece").alias("piece"))
-        return ids.groupBy("piece").cogroup(wanted.groupBy("piece")).applyInArrow(_set_rows, "node long, items binary")
+        first = places.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("piece").alias("piece"))
+        return ids.groupBy("piece").cogroup(first.groupBy("piece")).applyInArrow(_set_rows, "node long, items binary")
 
-    roots, _ = similar_components(bands, sets_of, num, den, decode=_shingles)
+    roots, _ = similar_components(bands, sets_of, num, den, decode=sets)
     first = F.min(F.struct("doc", "line", "node")).alias("first")
     nodes = places.groupBy("node").agg(F.sum("times").alias("times"), first)
     classes = nodes.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))

@@ -33,11 +33,24 @@ def _similar(common, x, y, num: int, den: int):
     return den * common >= num * (x + y - common)
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _verified(num: int, den: int, sets):
     def verified(batches):
         for batch in batches:
-            a, b = sets(batch["a_items"]), sets(batch["b_items"])
-            ok = [_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den) for x, y in zip(a, b)]
+            # a node's set is made once, in however many pairs it is
+            nodes, first, which = np.unique(np.concatenate([batch["a"].to_numpy(), batch["b"].to_numpy()]), return_index=True, return_inverse=True)
+            column = pa.concat_arrays([batch["a_items"], batch["b_items"]])
+            made = sets(column.take(pa.array(first)))
+            size = np.array([len(x) for x in made], np.int64)
+            i, j = which[: batch.num_rows], which[batch.num_rows :]
+            ok = _similar(np.minimum(size[i], size[j]), size[i], size[j], num, den)
+            for k in np.flatnonzero(ok):
+                ok[k] = _similar(_common(made[i[k]], made[j[k]]), size[i[k]], size[j[k]], num, den)
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 

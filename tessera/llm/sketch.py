@@ -11,6 +11,8 @@ m. What an element makes depends on its hash alone.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 
 from .words import mix
@@ -49,35 +51,43 @@ def minima(h: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, owner: np.ndarray, n: int, m: int) -> np.ndarray:
-    """MinHash signatures of m values (a power of two) with one hash for each element and round, an n x m array.
-
-    In each round an element falls into one of m places at random and brings a
-    random value; a place keeps the smallest value of its first round. Rounds
-    end for a set when all its places have one, which takes a long set one or
-    two rounds. Two sets agree on a place with a probability of their Jaccard
-    similarity. h, owner: as for minima. Sets without elements have all places
-    alike.
+    """MinHash signatures of m values with one hash for each element, an n x m array.
+
+    An element falls into one of m places and brings a value; a place keeps the
+    smallest. A place that none of a set's elements falls into takes the value
+    of another one, in an order of places that is the same for all sets. Two
+    sets agree on a place with a probability of their Jaccard similarity.
+    h, owner: as for minima. Sets without elements have all places alike.
     """
-    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    empty = np.uint32(0xFFFFFFFF)
     out = np.full(n * m, empty)
-    bits = np.uint64(m.bit_length() - 1)
-    live, turn = np.arange(len(h)), 0
-    while len(live):
-        turn += 1
-        now = out.copy() if turn > 1 else out
-        for a in range(0, len(live), 1 << 18):
-            at = live[a : a + (1 << 18)]
-            u = mix(h[at] + np.uint64(int(_STEP) * turn % (1 << 64)))
-            place = owner[at] * m + (u & np.uint64(m - 1)).astype(np.int64)
-            u >>= bits
-            if turn > 1:  # filled places stay
-                free = out[place] == empty
-                place, u = place[free], u[free]
-            np.minimum.at(now, place, u)
-        out = now
-        short = (out.reshape(n, m) == empty).any(axis=1)
-        live = live[short[owner[live]]]
-    return out.reshape(n, m)
+    for a in range(0, len(h), 1 << 17):
+        u = mix(h[a : a + (1 << 17)] ^ _STEP)
+        place = owner[a : a + (1 << 17)] * m + ((u & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(out, place, (u >> np.uint64(32)).astype(np.uint32))
+    out = out.reshape(n, m)
+    some = np.zeros(n, bool)
+    some[owner] = True
+    row, column = np.nonzero((out == empty) & some[:, None])
+    if len(row):
+        first, turns = out.copy(), _others(m)
+        for turn in range(8):
+            value = first[row, turns[turn, column]]
+            out[row, column] = value
+            left = value == empty
+            row, column = row[left], column[left]
+        for a in range(0, len(row), 1 << 12):  # few elements: look at all places at once
+            r, c = row[a : a + (1 << 12)], column[a : a + (1 << 12)]
+            values = first[r[:, None], turns[:, c].T]
+            out[r, c] = values[np.arange(len(r)), (values != empty).argmax(axis=1)]
+    return out
+
+
+@cache
+def _others(m: int) -> np.ndarray:
+    """For each of m places (a column) the order in which others stand in for it."""
+    at = np.arange(m, dtype=np.uint64)
+    return np.argsort(mix(at[:, None] * np.uint64(m) + at[None, :] + np.uint64(1)), axis=0)
 
 
 def registers(minimum: np.ndarray) -> np.ndarray:
