@@ -372,8 +372,7 @@ def katz_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     count as often as they occur. Without any training row all words are
     unseen, and scores are 0.
     """
-    spark = docs.sparkSession
-    n = session.pieces(spark)
+    n = session.pieces(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == 0, F.lit(False)).alias("held")
     pieces = session.in_pieces(docs, "doc_id", "text", held, n=n)
     by_piece = pieces.groupBy("piece")

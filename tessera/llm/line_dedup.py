@@ -241,8 +241,7 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     (lines that aren't blank), lines_removed and lines_left; underscores are
     added to these names where docs has them.
     """
-    spark = docs.sparkSession
-    n = session.pieces(spark)
+    n = session.pieces(docs)
     taken = {c.lower() for c in docs.columns}
 
     def free(name: str) -> str:

@@ -29,6 +29,20 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(blob, np.uint64), dtype=np.uint64)
 
 
+def narrow(a: np.ndarray) -> bytes:
+    """64-bit integers that don't compress, in as many bytes each as the largest needs."""
+    raw = np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(-1, 8)
+    top = int(a.view(np.uint64).max(initial=0)) if len(a) else 0
+    width = max(1, (top.bit_length() + 7) // 8)
+    return bytes([width]) + raw[:, :width].tobytes()
+
+
+def unnarrow(blob: bytes) -> np.ndarray:
+    out = np.zeros(((len(blob) - 1) // blob[0], 8), np.uint8)
+    out[:, : blob[0]] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, blob[0])
+    return out.view("<i8").ravel()
+
+
 def small(counts: np.ndarray) -> bytes:
     """Counts, in as few bytes each as the largest needs."""
     most = int(counts.max(initial=0))

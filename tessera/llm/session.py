@@ -54,10 +54,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def pieces(spark: SparkSession) -> int:
-    """Into how many pieces a corpus is cut: several for each shuffle partition,
-    so that pieces dealt out by hash fill the partitions evenly."""
-    return max(256, 2 * shuffle_width(spark))
+#: Bytes of text of a piece, which a task holds in memory as a whole.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(docs: DataFrame) -> int:
+    """Into how many pieces a corpus is cut: so many that a piece has about
+    PIECE_BYTES, whatever the corpus' size, and no fewer than fill the machines."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(2 * shuffle_width(docs.sparkSession), -(-total // PIECE_BYTES))
 
 
 def in_pieces(docs: DataFrame, *columns, n: int) -> DataFrame:

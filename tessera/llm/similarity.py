@@ -134,12 +134,17 @@ def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFram
     sets = cut(sets_of(members.select("node").distinct()))
     links = cut(verify(screen(pairs) if screen else pairs, sets, num, den, decode))
     roots = components(links)
-    placed = members.filter("size > 2 AND node != leader").join(roots, "node", "left").select("band", "size", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int")
-    dealt = placed.join(mixed, "band").withColumn("parts", parts).withColumn("block", block)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = members.filter("size > 2 AND node != leader").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    # nothing is left to find among the members of a bucket's largest component
+    per = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all")).filter("all > main.n")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("band", F.col("main")["root"].alias("main"), parts(F.col("all") - F.col("main")["n"]).alias("odd"), parts(F.col("main")["n"]).alias("even"))
+    dealt = placed.join(mixed, "band").withColumn("is_odd", F.col("root") != F.col("main"))
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("is_odd"), F.col("odd")).otherwise(F.col("even"))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("is_odd"), own).otherwise(F.col("odd") + own))
+    meets = F.col("odd") + F.when(F.col("is_odd"), F.col("even")).otherwise(0) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), meets)))
     dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(sets, "node")
     rest = cut(dealt.groupBy("band", "i", "j").applyInArrow(_forest(num, den, decode), "a long, b long"))
     if rest.isEmpty():

@@ -123,8 +123,7 @@ def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     Windows are told apart by 64 bits: among n distinct windows about
     n * n / 2**65 pairs are expected to be taken for each other.
     """
-    spark = docs.sparkSession
-    n = session.pieces(spark)
+    n = session.pieces(docs)
     pieces = session.in_pieces(docs, "doc_id", "text", n=n)
     counted = pieces.groupBy("piece").applyInArrow(_send(size, n), COUNTED)
     flags = counted.groupBy("bucket").applyInArrow(count_again, FLAGS)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import packed, session
-from .induced import sorted_suffixes
+from .induced import DEPTH, sorted_suffixes
 from .words import buffers, covered, mix, windows
 
 ANCHOR = 24
@@ -33,11 +33,15 @@ ANCHOR = 24
 MANY = 64
 _NO_ID = np.iinfo(np.int64).max
 
-ANCHORS = "bucket int, piece int, keys binary, spans binary, sides binary, docs binary, which binary"
+ANCHORS = "bucket int, piece int, keys binary, spans binary, sides binary, unclear binary, docs binary"
 STATES = "kind int, piece int, bucket int, a binary"
-SPANS = "bucket int, piece int, bytes binary, sizes binary, docs binary, which binary"
+SPANS = "bucket int, piece int, bytes binary, sizes binary, docs binary"
 OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>"
 
+#: Places are looked at in blocks whose arrays fit a processor's cache.
+_BLOCK = 1 << 15
+_LOW = np.uint64(63)
+
 
 def slide_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` values, from runs of powers of two."""
@@ -51,6 +55,35 @@ def slide_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(run[:n], run[width - step : width - step + n])
 
 
+def _scan(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the string at each place: its anchor's hash, its own, and where in it its anchor is, looked for from either side."""
+    m = max(len(data) - size + 1, 0)
+    anchor, strings, low, high = np.empty(m, np.uint64), np.empty(m, np.uint64), np.empty(m, np.uint8), np.empty(m, np.uint8)
+    for a in range(0, m, _BLOCK):
+        b = min(m, a + _BLOCK)
+        raw = data[a : b + size - 1].astype(np.uint64) + np.uint64(1)
+        strings[a:b] = windows(raw, size)
+        grams = windows(raw, ANCHOR) & ~_LOW
+        at = np.arange(a, a + len(grams), dtype=np.uint64)
+        near = at & _LOW
+        first, last = slide_min(grams | near, size - ANCHOR + 1), slide_min(grams | (_LOW - near), size - ANCHOR + 1)
+        anchor[a:b] = first & ~_LOW
+        at = at[: b - a]
+        low[a:b], high[a:b] = ((first - at) & _LOW).astype(np.uint8), ((_LOW - (last & _LOW) - at) & _LOW).astype(np.uint8)
+    return anchor, strings, low, high
+
+
+def _order(key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Order by key, name and doc; few keys are equal."""
+    order = np.argsort(key)
+    k = key[order]
+    same = np.append(False, k[1:] == k[:-1])
+    at = np.flatnonzero(same | np.append(same[1:], False))
+    own = order[at]
+    order[at] = own[np.lexsort((doc[own], name[own], key[own]))]
+    return order
+
+
 class Spans:
     """A piece's spans, and the distinct ones in order of anchor and hash."""
 
@@ -58,34 +91,32 @@ class Spans:
         self.size = size
         self.data, self.offsets = data, offsets = buffers(rows["text"])
         ids = rows["doc_id"].cast(pa.int64()).fill_null(_NO_ID).to_numpy()
-        raw = data.astype(np.uint64) + np.uint64(1)
-        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        m = max(len(data) - size + 1, 0)
-        inside = text[:m] == text[len(data) - m :]
-        grams = windows(raw, ANCHOR)
-        anchor = slide_min(grams, size - ANCHOR + 1)
-        strings = windows(raw, size)
+        anchor, self.strings, low, high = _scan(data, size)
+        m = len(anchor)
+        inside = np.ones(m, bool)
+        for a, b in zip(np.maximum(offsets[:-1], offsets[1:] - size + 1).tolist(), offsets[1:].tolist()):
+            inside[a:b] = False
         new = np.ones(m, bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:m] != text[: max(m - 1, 0)]) | ~inside[:-1]
-        begin = np.flatnonzero(new & inside)
-        ends = np.append(np.flatnonzero(new)[1:], m)[np.searchsorted(np.flatnonzero(new), begin)]
-        ends = np.minimum(ends, offsets[1:][text[begin]] - size + 1) if len(begin) else ends
+        new[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
+        heads = np.flatnonzero(new)
+        ends = np.append(heads[1:], m)[: len(heads)]
+        begin, ends = heads[inside[heads]], ends[inside[heads]]
         # two strings cover at most twice their size, so longer runs are cut
         parts = -(-(ends - begin) // size)
         which = np.repeat(np.arange(len(begin)), parts)
         part = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        self.begin = begin[which] + part * size
-        self.count = np.minimum(ends[which] - self.begin, size)  # strings that start in a span
-        self.doc = ids[text[self.begin]] if len(which) else np.zeros(0, np.int64)
-        key = anchor[self.begin]
-        self.strings = strings
-        name = mix(strings[self.begin] ^ mix(strings[self.begin + self.count - 1] + self.count.astype(np.uint64)))
-        self.sides = _sides(grams, key, self.begin, self.count, name, size)
-        order = np.lexsort((self.doc, name, key))
+        self.begin = begin = begin[which] + part * size
+        self.count = np.minimum(ends[which] - begin, size)  # strings that start in a span
+        self.doc = ids[np.searchsorted(offsets, begin, side="right") - 1] if len(begin) else np.zeros(0, np.int64)
+        key, last = anchor[begin], begin + self.count - 1
+        name = mix(self.strings[begin] ^ mix(self.strings[last] + self.count.astype(np.uint64)))
+        self.sides, self.unclear = _sides(data, begin, last, low, high, name, size)
+        name = name >> np.uint64(32)
+        order = _order(key, name, self.doc)
         k, s = key[order], name[order]
         head = np.ones(len(order), bool)
         head[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
-        self.first = order[np.flatnonzero(head)]  # of each distinct span, where its smallest doc_id has it
+        self.first = order[head]  # of each distinct span, where its smallest doc_id has it
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(head) - 1
         self.key, self.name, self.least = key[self.first], name[self.first], self.doc[self.first]
@@ -99,7 +130,7 @@ class Spans:
         return out
 
 
-def _sides(grams: np.ndarray, key: np.ndarray, begin: np.ndarray, count: np.ndarray, name: np.ndarray, size: int) -> np.ndarray:
+def _sides(data: np.ndarray, begin: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, name: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """What stands on both sides of each span's anchor, 16 bits of a hash each, and whether that can't be told.
 
     A string that two spans share reaches at least half of what it has besides
@@ -107,34 +138,30 @@ def _sides(grams: np.ndarray, key: np.ndarray, begin: np.ndarray, count: np.ndar
     string of the span fills so far has a value of the span's own. An anchor
     that occurs again in its span says nothing.
     """
-    reach = size - ANCHOR
-    half, last = reach // 2, begin + count - 1
-    times, place = np.zeros(len(begin), np.int64), begin.copy()
-    for j in range(int(count.max(initial=0)) + reach):
-        hit = (j < count + reach) & (grams[np.minimum(begin + j, len(grams) - 1)] == key)
-        times += hit
-        place[hit] = begin[hit] + j
-    top = len(grams) - 1
-    left = np.where(place - half >= begin, mix(grams[np.clip(place - half, 0, max(top, 0))]) if len(begin) else name, name)
-    right = np.where(place + half + ANCHOR <= last + size, mix(grams[np.clip(place + half, 0, max(top, 0))]) if len(begin) else name, ~name)
-    half_word = np.uint64(0xFFFF)
-    return ((left & half_word) << np.uint64(24)) | ((right & half_word) << np.uint64(8)) | (times != 1).astype(np.uint64)
+    half = (size - ANCHOR) // 2
+    place = begin + low[begin]
+    unclear = (place != last + high[last]) | (low[begin] != high[begin]) | (low[last] != high[last])
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
+    def side(at: np.ndarray, own: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        found = mix(eights[np.where(fits, at, 0)] ^ mix(eights[np.where(fits, at + half - 8, 0)] + np.uint64(1))) if half >= 8 else own
+        return np.where(fits, found, own) & np.uint64(0xFFFF)
 
-def _table(x: np.ndarray) -> tuple[bytes, bytes]:
-    values, which = np.unique(x, return_inverse=True)
-    return values.tobytes(), packed.small(which)
+    left = side(place - half, name, place - half >= begin)
+    right = side(place + ANCHOR, ~name, place + half + ANCHOR <= last + size)
+    return ((left << np.uint64(16)) | right).astype(np.uint32), unclear | (half < 8)
 
 
 def _send(size: int, n: int):
     def send(rows: pa.Table) -> pa.Table:
         x = Spans(rows, size, n)
-        piece, out, sides = rows["piece"][0].as_py(), [], x.sides[x.first]
+        piece, out = rows["piece"][0].as_py(), []
+        name, side, unclear = x.name.astype(np.uint32), x.sides[x.first], x.unclear[x.first]
         for b in np.flatnonzero(np.diff(x.at)):
             s = slice(x.at[b], x.at[b + 1])
-            out.append((int(b), piece, packed.pack(x.key[s]), packed.squeeze(x.name[s]), packed.squeeze(sides[s]), *_table(x.least[s])))
+            out.append((int(b), piece, packed.narrow(np.diff(x.key[s], prepend=np.uint64(0)).view(np.int64)), name[s].tobytes(), side[s].tobytes(), np.packbits(unclear[s]).tobytes(), packed.narrow(x.least[s])))
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "piece", "keys", "spans", "sides", "docs", "which"])
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "piece", "keys", "spans", "sides", "unclear", "docs"])
 
     return send
 
@@ -144,26 +171,30 @@ ALONE, EARLIER, COMPARE, HOT = range(4)
 
 
 def _judge(rows: pa.Table) -> pa.Table:
-    keys = [packed.unpack(x.as_py()) for x in rows["keys"]]
+    keys = [np.cumsum(packed.unnarrow(x.as_py())).view(np.uint64) for x in rows["keys"]]
     cuts = np.cumsum([len(k) for k in keys])[:-1]
-    key = np.concatenate(keys)
-    name = np.concatenate([packed.unsqueeze(x.as_py(), np.uint64) for x in rows["spans"]])
-    doc = np.concatenate([np.frombuffer(d.as_py(), np.int64)[packed.unsmall(w.as_py())] for d, w in zip(rows["docs"], rows["which"])])
-    order = np.lexsort((doc, name, key))
-    k, s = key[order], name[order]
+    key, doc = np.concatenate(keys), np.concatenate([packed.unnarrow(x.as_py()) for x in rows["docs"]])
+    name, side = (np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows[c]]) for c in ("spans", "sides"))
+    unclear = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).astype(bool) for x, k in zip(rows["unclear"], keys)])
+    order = _order(key, name, doc)
+    k, s, d = key[order], name[order], doc[order]
     new_key = np.append(True, k[1:] != k[:-1])
     head = new_key | np.append(True, s[1:] != s[:-1])
-    least = doc[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-    side = np.concatenate([packed.unsqueeze(x.as_py(), np.uint64) for x in rows["sides"]])[order][head]
+    number = np.cumsum(head) - 1
+    at = order[head]
+    least = d[head][number]
     group = (np.cumsum(new_key) - 1)[head]
-    spans = np.bincount(group)[group]
-    unclear = np.bincount(group, weights=(side & np.uint64(1)).astype(float))[group] > 0
-    near = unclear
-    for shift in (24, 8):
-        _, which, times = np.unique((group << 16) | ((side >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.int64), return_inverse=True, return_counts=True)
-        near = near | (times[which] > 1)
-    compare = np.where(near & (spans > 1), np.where(spans > MANY, HOT, COMPARE), ALONE)[np.cumsum(head) - 1]
-    state = np.where(doc[order] > least, EARLIER, compare).astype(np.uint8)
+    spans = np.bincount(group)
+    # only an anchor with several spans asks for more
+    many = np.flatnonzero(spans[group] > 1)
+    own, side = group[many], side[at[many]]
+    near = (np.bincount(own, weights=unclear[at[many]], minlength=len(spans)) > 0)[own]
+    for shift in (16, 0):
+        _, which, times = np.unique((own << 16) | ((side >> shift) & 0xFFFF).astype(np.int64), return_inverse=True, return_counts=True)
+        near |= times[which] > 1
+    compare = np.full(len(at), ALONE, np.uint8)
+    compare[many] = np.where(near, np.where(spans[own] > MANY, HOT, COMPARE), ALONE)
+    state = np.where(d > least, EARLIER, compare[number]).astype(np.uint8)
     back = np.empty(len(order), np.uint8)
     back[order] = state
     parts = np.split(back, cuts)
@@ -176,6 +207,11 @@ def _judge(rows: pa.Table) -> pa.Table:
     })
 
 
+def shards(n: int) -> int:
+    """Of n pieces' text only repeated anchors' spans are sorted, so several pieces' fit a shard."""
+    return -(-n // 4)
+
+
 def _texts(x: Spans, state: np.ndarray, n: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """What a piece sends to each shard, in order: begin, number of strings, and doc_id of each text."""
     whole = np.flatnonzero(state == COMPARE)
@@ -202,12 +238,12 @@ def _send_texts(size: int, n: int):
         if rows.num_rows:
             x = Spans(rows, size, n)
             piece = rows["piece"][0].as_py()
-            for b, begin, count, docs in _texts(x, x.states(answers), n):
+            for b, begin, count, docs in _texts(x, x.states(answers), shards(n)):
                 long = count + size - 1
                 take = np.arange(int(long.sum())) + np.repeat(begin - np.cumsum(long) + long, long)
-                out.append((b, piece, packed.squeeze(x.data[take]), packed.small(count), *_table(docs)))
-        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 4
-        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "piece", "bytes", "sizes", "docs", "which"])
+                out.append((b, piece, packed.squeeze(x.data[take]), packed.small(count), packed.narrow(docs)))
+        kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 3
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "piece", "bytes", "sizes", "docs"])
 
     return send
 
@@ -216,7 +252,7 @@ def _sort(size: int):
     def sort(rows: pa.Table) -> pa.Table:
         raw = [packed.unsqueeze(x.as_py(), np.uint8) for x in rows["bytes"]]
         counts = [packed.unsmall(x.as_py()) for x in rows["sizes"]]
-        docs = np.concatenate([np.frombuffer(d.as_py(), np.int64)[packed.unsmall(w.as_py())] for d, w in zip(rows["docs"], rows["which"])])
+        docs = np.concatenate([packed.unnarrow(x.as_py()) for x in rows["docs"]])
         count = np.concatenate(counts)
         text, place, common = sorted_suffixes(np.concatenate(raw), count + size - 1)
         real = place < count[text]  # suffixes that hold a whole string
@@ -257,7 +293,7 @@ def _remove(size: int, n: int):
         np.add.at(starts, x.begin[gone] + x.count[gone], -1)
         starts = np.cumsum(starts[:total]) > 0
         hot = []
-        for b, begin, count, _ in _texts(x, state, n):
+        for b, begin, count, _ in _texts(x, state, shards(n)):
             if b in bits:
                 own = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=int(count.sum())).astype(bool)
                 at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
@@ -308,8 +344,9 @@ def suffix_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     documents, so they lose nothing to each other; rows without doc_id come
     after all others. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    n = session.pieces(spark)
+    if not ANCHOR < size <= DEPTH:
+        raise ValueError(f"size must be from {ANCHOR + 1} to {DEPTH}")
+    n = session.pieces(docs)
     pieces = session.in_pieces(docs, "doc_id", "text", n=n)
     by_piece = pieces.groupBy("piece")
     sent = by_piece.applyInArrow(_send(size, n), ANCHORS)

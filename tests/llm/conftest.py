@@ -9,7 +9,7 @@ SCHEMA = "doc_id long, text string, piece int, Text_ string, node double"
 
 @pytest.fixture(autouse=True)
 def few_pieces(monkeypatch):
-    monkeypatch.setattr(session, "pieces", lambda spark: 8)
+    monkeypatch.setattr(session, "pieces", lambda docs: 8)
 
 
 def sentence(draw, n):
