@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .session import light
 from .words import buffers, slices, windows
 
 ROLL, MASK, LEAST = 16, (1 << 9) - 1, 64
 #: A task forgets its chunks when their texts and ids take so many bytes.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 24 << 20
 
 #: How byte-level BPE splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The pattern's white space. Its search of a long run of it overflows the engine's stack.
+_WHITE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_RUN = re.compile(f"[{_WHITE}]{{4096,}}")
+
 
 def _byte_of_char() -> dict[str, int]:
     """Vocabulary files write bytes as visible characters: printable ones as themselves, the rest from U+0100 on."""
@@ -72,7 +78,17 @@ class Tokenizer:
         self.held = 0
 
     def plain(self, raw: bytes) -> np.ndarray:
-        return np.array(self.engine.encode(raw.decode("utf-8", "replace"), allowed_special=self.special, disallowed_special=()), np.uint32)
+        text, out, done = raw.decode("utf-8", "replace"), [], 0
+        for run in _RUN.finditer(text):
+            # all of a run but the last character, which may belong to what follows, is one piece
+            end = run.end() - (run.end() < len(text))
+            out += self.split(text[done : run.start()])
+            out += self.engine._encode_single_piece(text[run.start() : end])
+            done = end
+        return np.array(out + self.split(text[done:]), np.uint32)
+
+    def split(self, text: str) -> list[int]:
+        return self.engine.encode(text, allowed_special=self.special, disallowed_special=())
 
     def chunk(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a chunk and where each token ends, encoded once."""
@@ -141,7 +157,18 @@ def safe_places(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((before > 0x20) & (before < 0x7F) & ((here == 0x20) | (here == 0x0A))) + 1
 
 
-def _encoded(content, mask: int, least: int):
+def _sha256(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat.astype(np.int32)))
+
+
+def _encoded(content, mask: int, least: int, columns: dict):
+    """columns: what is made of a document's ids, given the tokenizer and the ids of several documents."""
+
     def encoded(batches):
         tokenizer = Tokenizer(content.value)
         for batch in batches:
@@ -151,17 +178,19 @@ def _encoded(content, mask: int, least: int):
                 for k in range(a, b):
                     own = data[offsets[k] : offsets[k + 1]]
                     ids.append(tokenizer.encode(own, chunk_cuts(own, mask, least), safe_places(own)))
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-                yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(a, b - a).cast(pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32))),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                ], ["doc_id", "ids", "ids_sha256"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a).cast(pa.int64()), *(f(tokenizer, ids) for f in columns.values())], ["doc_id", *columns])
 
     return encoded
 
 
+_IDS = {"ids": lambda _, ids: _lists(ids), "ids_sha256": lambda _, ids: pa.array([_sha256(x) for x in ids], pa.string())}
+_DIGEST = {
+    "n_tokens": lambda _, ids: pa.array([len(x) for x in ids], pa.int64()),
+    "ids_sha256": _IDS["ids_sha256"],
+    "decoded_sha256": lambda t, ids: pa.array([hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+}
+
+
 def _decoded(content):
     def decoded(batches):
         tokenizer = Tokenizer(content.value)
@@ -191,16 +220,22 @@ def bpe_encode(docs: DataFrame, vocabulary: str, mask: int = MASK, least: int =
     equal rows, and rows with equal or null doc_id, are encoded alike. Chunks are ``mask + 1`` bytes long
     on average and at least ``least``; they don't change the ids.
     """
-    return docs.select("doc_id", "text").mapInArrow(_encoded(_vocabulary(docs.sparkSession, vocabulary), mask, least), "doc_id long, ids array<int>, ids_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(light(_encoded(_vocabulary(docs.sparkSession, vocabulary), mask, least, _IDS)), "doc_id long, ids array<int>, ids_sha256 string")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """``encoded`` (a column ids, not null, among any others) and decoded, the text of the ids; no ids give an empty text."""
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
-    return encoded.mapInArrow(_decoded(_vocabulary(encoded.sparkSession, vocabulary)), schema)
+    return encoded.mapInArrow(light(_decoded(_vocabulary(encoded.sparkSession, vocabulary))), schema)
 
 
-def bpe_digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    both = bpe_decode(bpe_encode(docs, vocabulary), vocabulary)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+def bpe_digest(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row, and its ids if wanted; ids are decoded where they are made.
+
+    Null and empty texts have no tokens; equal rows, and rows with equal or
+    null doc_id, are encoded alike. An empty table gives an empty result.
+    """
+    columns, schema = dict(_DIGEST), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    if with_ids:
+        columns, schema = {**columns, "ids": _IDS["ids"]}, schema + ", ids array<int>"
+    return docs.select("doc_id", "text").mapInArrow(light(_encoded(_vocabulary(docs.sparkSession, vocabulary), MASK, LEAST, columns)), schema)

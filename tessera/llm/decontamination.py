@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .session import light
 from .words import ALNUM_LOWER, buffers, slices, words
 
-SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+#: Bytes of benchmark text of a block. What is built of it takes some 25 times as much, and a third of that is sent.
+BLOCK_BYTES = 4 << 20
 
 
 class Tests:
@@ -37,19 +39,39 @@ class Tests:
         self.vocabulary = np.unique(h)
         ids = np.searchsorted(self.vocabulary, h) + 1
         self.bits = max(1, int(len(self.vocabulary)).bit_length())
-        found: dict[tuple, set[tuple[int, int]]] = {}
-        for k, (name, _) in enumerate(items):
-            own = ids[w.first[k] : w.first[k + 1]].tolist()
-            for p in range(max(len(own) - size, 0) + 1 if own else 0):
-                found.setdefault(tuple(own[p : p + size]), set()).add((number[str(name)], p))
-        keys = sorted(found)
-        self.length = np.array([len(x) for x in keys], np.int64)
-        self.low = self.packed(np.array([(*x, *[0] * (size - len(x))) for x in keys], np.uint64).reshape(-1, size))
-        top = (1 << self.bits) - 1
-        self.high = self.packed(np.array([(*x, *[top] * (size - len(x))) for x in keys], np.uint64).reshape(-1, size))
-        self.items = [np.array(sorted({i for i, _ in found[x]}), np.int64) for x in keys]
-        self.places = [np.array(sorted(found[x]), np.int64).reshape(-1, 2) for x in keys]
+        count = np.diff(w.first)
+        many = np.where(count > 0, np.maximum(count - size, 0) + 1, 0)
+        place, item = _ragged(np.zeros(len(many), np.int64), many)
+        length = np.minimum(count, size)[item]
+        begin, top = w.first[item] + place, (1 << self.bits) - 1
+        rows = np.zeros((len(begin), size), np.uint64)
+        for j in range(size):
+            inside = length > j
+            rows[inside, j] = ids[begin[inside] + j]
+        low = self.packed(rows)
+        for j in range(size):
+            rows[length <= j, j] = top
+        high = self.packed(rows)
+        who = np.array([number[str(i)] for i, _ in items], np.int64)[item]
+        order = np.lexsort((place, who, *low[::-1]))
+        low, high, place, who, length = [x[order] for x in low], [x[order] for x in high], place[order], who[order], length[order]
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for x in low:
+            new[1:] |= x[1:] != x[:-1]
+        heads = np.flatnonzero(new)
+        self.low, self.high, self.length = [x[heads] for x in low], [x[heads] for x in high], length[heads]
         self.least = int(self.length.min(initial=size))
+        # each window's places in items, and the items it is in
+        again = ~new
+        again[1:] &= (who[1:] == who[:-1]) & (place[1:] == place[:-1])
+        self.who, self.place = who[~again], place[~again]
+        self.places_at = np.append(np.searchsorted(np.flatnonzero(~again), heads), len(self.who))
+        other = np.ones(len(self.who), bool)
+        other[1:] = self.who[1:] != self.who[:-1]
+        other[self.places_at[:-1]] = True
+        self.items = self.who[other]
+        self.items_at = np.append(np.searchsorted(np.flatnonzero(other), self.places_at[:-1]), len(self.items))
 
     def packed(self, rows: np.ndarray) -> list[np.ndarray]:
         """Word numbers as a few 64-bit integers in the same order."""
@@ -126,13 +148,11 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, tests: Tests) -> tuple:
     np.add.at(edge, place, 1)
     np.add.at(edge, place + tests.length[window], -1)
     hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    lengths = np.array([len(x) for x in tests.items], np.int64)
-    pick, of = _ragged(np.cumsum(lengths)[window] - lengths[window], np.cumsum(lengths)[window])
-    pairs = np.unique(w.text[place[of]] * len(tests.names) + np.concatenate(tests.items)[pick])
+    pick, of = _ragged(tests.items_at[window], tests.items_at[window + 1])
+    pairs = np.unique(w.text[place[of]] * len(tests.names) + tests.items[pick])
     # a match goes on while the next place matches the item's next window
-    many = np.array([len(x) for x in tests.places], np.int64)
-    pick, of = _ragged(np.cumsum(many)[window] - many[window], np.cumsum(many)[window])
-    spots = np.concatenate(tests.places)[pick]
+    pick, of = _ragged(tests.places_at[window], tests.places_at[window + 1])
+    spots = np.stack([tests.who[pick], tests.place[pick]], axis=1)
     diagonal = np.lexsort((place[of], place[of] - spots[:, 1], spots[:, 0], w.text[place[of]]))
     p, d, t = place[of][diagonal], (place[of] - spots[:, 1])[diagonal], w.text[place[of]][diagonal]
     i = spots[:, 0][diagonal]
@@ -144,7 +164,7 @@ def search_shard(data: np.ndarray, offsets: np.ndarray, tests: Tests) -> tuple:
     return counts, w.text[hit], hit - w.first[w.text[hit]], pairs // len(tests.names), pairs % len(tests.names), longest
 
 
-def _matches(tests, first: bool):
+def _matches(tests, first: bool, last: bool):
     """Adds to each row: n_words, hits (places of hit words), items, longest."""
 
     def matches(batches):
@@ -161,10 +181,9 @@ def _matches(tests, first: bool):
                     hits = [np.union1d(np.array(x or [], np.int64), y) for x, y in zip(rows["hits"].to_pylist(), hits)]
                     names = [sorted({*x, *y}) for x, y in zip(rows["items"].to_pylist(), names)]
                     longest = np.maximum(longest, rows["longest"].to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays(
-                    [rows["doc_id"].cast(pa.int64()), rows["text"].cast(pa.string()), pa.array(n_words, pa.int64()), pa.array([x.astype(np.int32) for x in hits], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64())],
-                    ["doc_id", "text", "n_words", "hits", "items", "longest"],
-                )
+                text = {} if last else {"text": rows["text"].cast(pa.string())}
+                found = {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array([x.astype(np.int32) for x in hits], pa.list_(pa.int32())), "items": pa.array(names, pa.list_(pa.string())), "longest": pa.array(longest, pa.int64())}
+                yield pa.RecordBatch.from_pydict({"doc_id": rows["doc_id"].cast(pa.int64()), **text, **found})
 
     return matches
 
@@ -189,19 +208,19 @@ def _marked(tests, mark: str, first: bool):
 
 
 def _blocks(spark: SparkSession, benchmark: DataFrame, size: int):
-    """The benchmark's windows in broadcast blocks of a bounded size."""
+    """The benchmark's windows in broadcast blocks of a bounded size, and whether each is the last."""
     items = benchmark.select(F.col("item_id"), F.col("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        yield spark.sparkContext.broadcast(Tests([tuple(x) for x in block], size))
+        block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()  # a block's text is bounded
+        yield spark.sparkContext.broadcast(Tests([tuple(x) for x in block], size)), k == blocks - 1
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, size: int = 8) -> DataFrame:
     """Verbatim matches of benchmark windows in each document.
 
-    Returns for each row of ``docs`` (doc_id, text): doc_id, text, n_words,
+    Returns for each row of ``docs`` (doc_id, text): doc_id, n_words,
     hits (places of the words inside a match), items (item_id of each item
     with a match, as sorted strings) and longest (words of the longest match).
     Null and empty texts have no words. An item with fewer than ``size`` words
@@ -213,8 +232,8 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, size: int = 8) -> D
     """
     out = docs.select("doc_id", "text")
     schema = "doc_id long, text string, n_words long, hits array<int>, items array<string>, longest long"
-    for k, tests in enumerate(_blocks(docs.sparkSession, benchmark, size)):
-        out = out.mapInArrow(_matches(tests, k == 0), schema)
+    for k, (tests, last) in enumerate(_blocks(docs.sparkSession, benchmark, size)):
+        out = out.mapInArrow(light(_matches(tests, k == 0, last)), schema.replace("text string, ", "") if last else schema)
     return out
 
 
@@ -230,6 +249,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, items: i
         mark += "_"
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs
-    for k, tests in enumerate(_blocks(docs.sparkSession, benchmark, size)):
-        out = out.mapInArrow(_marked(tests, mark, k == 0), f"{fields}, {mark} array<string>")
+    for k, (tests, _) in enumerate(_blocks(docs.sparkSession, benchmark, size)):
+        out = out.mapInArrow(light(_marked(tests, mark, k == 0)), f"{fields}, {mark} array<string>")
     return out.filter(F.size(mark) < items).drop(mark)

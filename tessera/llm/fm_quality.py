@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .session import light
 from .words import SPACED_LOWER, Words, buffers, slices, words
 
 #: Hashed words, then each statistic's ranges.
@@ -163,8 +165,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int, parts: int =
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % parts != held_out)
     total = known.count()
     # about as many as wanted are picked before texts are read; the limit keeps the bound exact
-    share = min(1.0, 0.95 * rows / max(total, 1))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    least = int(min(1.0, 0.95 * rows / max(total, 1)) * (1 << 53))
+    picked = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < least).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("label", "ascending")])
     return [(t, int(y)) for t, y in zip(got["text"].to_pylist(), got["label"].to_pylist())]
@@ -179,34 +181,36 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 8_000) -> Machine:
     return fit(texts, y)
 
 
-def _scored(model, name: str):
+def _scored(model, name: str, columns: list[str], least: float | None):
     def scored(batches):
         m = model.value
         for batch in batches:
-            data, offsets = buffers(batch.column(batch.schema.names.index("text")))
-            for a, b in slices(offsets):
-                score = m.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
+            names = batch.schema.names
+            data, offsets = buffers(batch.column(names.index("text")))
+            score = np.concatenate([np.zeros(0), *(m.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, 1 << 19))])
+            out = pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in columns), pa.array(score, pa.float64())], [*columns, name])
+            if least is not None:
+                out = out.filter(pa.array(score >= least))
+                out = out.select(columns)
+            yield out
 
     return scored
 
 
-def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 in a column ``name``, from text alone; null and empty texts get the score of an empty text.
+def score(docs: DataFrame, model: Machine, name: str = "score", columns: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` with a score from 0 to 1 in a column ``name``, from text alone; null and empty texts get the score of an empty text.
 
-    A row for each row; columns other than text pass through. ``name`` must not be among them.
+    A row for each row, repeated ones included; an empty table gives an empty
+    result. ``columns`` (all, if None) pass through; ``name`` must not be among
+    them.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    if name.lower() in {c.lower() for c in docs.columns}:
+    columns = docs.columns if columns is None else columns
+    if name.lower() in {c.lower() for c in columns}:
         raise ValueError(f"the table has a column {name} already")
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(_scored(docs.sparkSession.sparkContext.broadcast(model), name), schema)
+    schema = StructType([*(docs.schema[c] for c in columns), StructField(name, DoubleType())])
+    return docs.mapInArrow(light(_scored(docs.sparkSession.sparkContext.broadcast(model), name, columns, None)), schema)
 
 
 def quality_filter(docs: DataFrame, model: Machine, least: float = 0.3) -> DataFrame:
-    """Rows of ``docs`` with a score of ``least`` or more, with all their columns."""
-    name = "fm_score"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return score(docs, model, name).filter(F.col(name) >= least).drop(name)
+    """Rows of ``docs`` with a score of ``least`` or more, with all their columns; rows with a null or empty text go by the score of an empty text."""
+    return docs.mapInArrow(light(_scored(docs.sparkSession.sparkContext.broadcast(model), "", docs.columns, least)), docs.schema)

@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .session import light
+
 #: Elements by their part in a page.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "title", "noframes", "xmp"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "head", "audio", "video", "datalist", "label", "optgroup", "option"}
@@ -207,4 +209,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
     are joined by one line feed. Null and empty pages, and pages without an
     article's text, have an empty text; a repeated row is a row of its own.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(light(_texts), "page_id long, url string, text string, n_chars long")

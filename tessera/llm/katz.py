@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed, session
+from .session import light
 from .words import SPACED_LOWER, buffers, mix, words
 
 K, ETA = 5, 0.1
@@ -376,15 +377,15 @@ def katz_scores(docs: DataFrame, parts: int = 10) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == 0, F.lit(False)).alias("held")
     pieces = session.in_pieces(docs, "doc_id", "text", held, n=n)
     by_piece = pieces.groupBy("piece")
-    unigrams = session.cut(by_piece.applyInArrow(_send_words(n), WORD_ROWS).groupBy("bucket").applyInArrow(_count_words(n), ANSWERS))
+    unigrams = session.cut(by_piece.applyInArrow(light(_send_words(n)), WORD_ROWS).groupBy("bucket").applyInArrow(light(_count_words(n)), ANSWERS))
     one = _sum(unigrams, 1, K + 4)
     answers = unigrams.filter("kind = 0")
-    sent = by_piece.cogroup(answers.groupBy("piece")).applyInArrow(_send_pairs(one, n), PAIR_ROWS)
-    bigrams = session.cut(sent.groupBy("bucket").applyInArrow(_count_pairs(n), ANSWERS))
+    sent = by_piece.cogroup(answers.groupBy("piece")).applyInArrow(light(_send_pairs(one, n)), PAIR_ROWS)
+    bigrams = session.cut(sent.groupBy("bucket").applyInArrow(light(_count_pairs(n)), ANSWERS))
     two = _sum(bigrams, 3, K + 3)
     answers = answers.union(bigrams.filter("kind = 2"))
-    partial = session.cut(by_piece.cogroup(answers.groupBy("piece")).applyInArrow(_partial(one, two, n), ANSWERS))
+    partial = session.cut(by_piece.cogroup(answers.groupBy("piece")).applyInArrow(light(_partial(one, two, n)), ANSWERS))
     asked, sums = partial.filter("kind = 6"), bigrams.filter("kind = 4")
-    weights = asked.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(_weights(two), ANSWERS)
+    weights = asked.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(light(_weights(two)), ANSWERS)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return partial.filter("kind = 5").groupBy("piece").cogroup(weights.groupBy("piece")).applyInArrow(_finish(int(one[K + 2])), schema)
+    return partial.filter("kind = 5").groupBy("piece").cogroup(weights.groupBy("piece")).applyInArrow(light(_finish(int(one[K + 2]))), schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import packed, session, sketch
 from .similarity import similar_components
+from .session import light
 from .words import buffers, mix, slices
 
 #: Characters of a shingle, values of a signature, and values of a band.
@@ -94,7 +95,7 @@ def _keys(n: int):
     def keys(batches):
         for batch in batches:
             data, offsets = buffers(batch["text"])
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 4 << 20):
                 found, node, _, _ = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 nodes, first = np.unique(node, return_index=True)
                 if not len(nodes):
@@ -156,7 +157,7 @@ def _entries(n: int):
         for batch in batches:
             data, offsets = buffers(batch["text"])
             docs, pieces = batch["doc_id"].cast(pa.int64()).to_numpy(zero_copy_only=False), batch["piece"].to_numpy(zero_copy_only=False)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 4 << 20):
                 doc, piece = docs[a:b], pieces[a:b]
                 _, node, text, place = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(node):
@@ -251,15 +252,15 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
 
     lost = [free("lines_seen"), free("lines_removed"), free("lines_left")]
     ids = session.in_pieces(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id", "text", n=n)
-    keys = ids.mapInArrow(_keys(n), "bucket int, keys binary, nodes binary")
-    bands = session.cut(keys.groupBy("bucket").applyInArrow(_meet, "band long, node long"))
-    entries = ids.mapInArrow(_entries(n), "bucket int, nodes binary, docs binary, pieces binary, times binary, places binary")
+    keys = ids.mapInArrow(light(_keys(n)), "bucket int, keys binary, nodes binary")
+    bands = session.cut(keys.groupBy("bucket").applyInArrow(light(_meet), "band long, node long"))
+    entries = ids.mapInArrow(light(_entries(n)), "bucket int, nodes binary, docs binary, pieces binary, times binary, places binary")
     wanted = bands.select("node").distinct().withColumn("bucket", F.pmod("node", F.lit(n)).cast("int"))
-    places = session.cut(entries.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_places, "node long, piece int, times long, doc long, line long"))
+    places = session.cut(entries.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(light(_places), "node long, piece int, times long, doc long, line long"))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         first = places.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("piece").alias("piece"))
-        return ids.groupBy("piece").cogroup(first.groupBy("piece")).applyInArrow(_set_rows, "node long, items binary")
+        return ids.groupBy("piece").cogroup(first.groupBy("piece")).applyInArrow(light(_set_rows), "node long, items binary")
 
     roots, _ = similar_components(bands, sets_of, num, den, decode=sets)
     first = F.min(F.struct("doc", "line", "node")).alias("first")
@@ -272,7 +273,7 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     everything = docs.select("*", F.pmod(F.hash("doc_id"), F.lit(n)).cast("int").alias(piece))
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     apply = _removed(docs.columns, lost)
-    return everything.groupBy(piece).cogroup(marks.groupBy("piece")).applyInArrow(apply, f"{fields}, " + ", ".join(f"{c} long" for c in lost))
+    return everything.groupBy(piece).cogroup(marks.groupBy("piece")).applyInArrow(light(apply), f"{fields}, " + ", ".join(f"{c} long" for c in lost))
 
 
 def drop_repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:

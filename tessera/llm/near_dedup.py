@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .session import cut
+from .session import cut, light
 from .similarity import similar_components
 from .words import SPACED_LOWER, buffers, slices, whole, windows, words
 
@@ -114,23 +114,23 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, size: int = 5)
     each has its own text's component. A row without doc_id is linked with
     nothing, has no component_id, and is kept. An empty table gives an empty result.
     """
-    seen = cut(docs.select("doc_id", "text").mapInArrow(_sketched(size), "doc_id long, n_shingles long, class long, registers binary"))
+    seen = cut(docs.select("doc_id", "text").mapInArrow(light(_sketched(size)), "doc_id long, n_shingles long, class long, registers binary"))
     known = seen.filter("class IS NOT NULL AND doc_id IS NOT NULL")
     # a class has one set, so any row's registers are the class's
     classes = cut(known.groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.max("registers").alias("registers")))
-    bands = classes.select("class", "registers").mapInArrow(_banded, "band long, node long")
+    bands = classes.select("class", "registers").mapInArrow(light(_banded), "band long, node long")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = classes.join(nodes, classes["class"] == nodes["node"], "left_semi").select(F.col("first").alias("doc_id"), "class")
         ids = wanted.select("doc_id").distinct()
-        rows = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(size), "node long, items binary")
+        rows = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(light(_set_rows(size)), "node long, items binary")
         return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
     def screen(pairs: DataFrame) -> DataFrame:
         def side(c: str) -> DataFrame:
             return classes.select(F.col("class").alias(c), F.col("n").alias(f"{c}_n"), F.col("registers").alias(f"{c}_reg"))
 
-        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_reg", "b_reg").mapInArrow(_screened(num / den - MARGIN), "a long, b long")
+        return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_n", "b_n", "a_reg", "b_reg").mapInArrow(light(_screened(num / den - MARGIN)), "a long, b long")
 
     roots, _ = similar_components(bands, sets_of, num, den, screen)
     placed = classes.select("class", "first").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import light
 from .words import SPACED, buffers, slices, whole, windows, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_upper", "n_exclaim", "n_lines", "n_distinct")
@@ -96,7 +97,7 @@ def _counted(batches):
 
 def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of each row of ``docs`` (doc_id, text; other columns are not read). A null or empty text has 0 of all."""
-    return docs.select("doc_id", "text").mapInArrow(_counted, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "text").mapInArrow(light(_counted), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 @dataclass(frozen=True)
@@ -203,8 +204,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, parts: int = 5
     and so are those too short or repetitive for ``base_failed``.
     """
     known = labels.select("doc_id", F.col("quality").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string")) % parts != 0)
-    share = min(1.0, 0.95 * rows / max(known.count(), 1))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    least = int(min(1.0, 0.95 * rows / max(known.count(), 1)) * (1 << 53))
+    picked = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < least).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     seen = text_counts(docs.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi"))
     got = seen.join(F.broadcast(picked), "doc_id").filter(~base_failed()).select("doc_id", "label", *(f(F.col).alias(k) for k, f in FEATURES.items())).collect()
     got.sort(key=lambda r: tuple(r))

@@ -49,7 +49,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fm_quality import score, train
 
     docs = session.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, train(docs, session.table(spark, sf_dir, "labels")))
+    out = score(docs, train(docs, session.table(spark, sf_dir, "labels")), columns=["doc_id"])
     return out.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

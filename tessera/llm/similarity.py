@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .session import cut
+from .session import cut, light
 
 BLOCK = 256
 
@@ -61,7 +61,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, decode=hashed_
     """Those of pairs (a, b) whose sets (node, items) have a similarity of num / den or more."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("a_items"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("b_items"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_items", "b_items").mapInArrow(_verified(num, den, decode), "a long, b long")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_items", "b_items").mapInArrow(light(_verified(num, den, decode)), "a long, b long")
 
 
 def _forest(num: int, den: int, sets):
@@ -146,7 +146,7 @@ def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFram
     meets = F.col("odd") + F.when(F.col("is_odd"), F.col("even")).otherwise(0) - 1
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), meets)))
     dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(sets, "node")
-    rest = cut(dealt.groupBy("band", "i", "j").applyInArrow(_forest(num, den, decode), "a long, b long"))
+    rest = cut(dealt.groupBy("band", "i", "j").applyInArrow(light(_forest(num, den, decode)), "a long, b long"))
     if rest.isEmpty():
         return roots, links
     stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))

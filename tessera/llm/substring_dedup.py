@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import packed, session
+from .session import light
 from .words import SPACED, Words, buffers, covered, whole, windows, words
 
 COUNTED = "bucket int, piece int, keys binary, again binary"
@@ -125,6 +126,6 @@ def substring_dedup(docs: DataFrame, size: int = 35) -> DataFrame:
     """
     n = session.pieces(docs)
     pieces = session.in_pieces(docs, "doc_id", "text", n=n)
-    counted = pieces.groupBy("piece").applyInArrow(_send(size, n), COUNTED)
-    flags = counted.groupBy("bucket").applyInArrow(count_again, FLAGS)
-    return pieces.groupBy("piece").cogroup(flags.groupBy("piece")).applyInArrow(_merge(size, n), OUT)
+    counted = pieces.groupBy("piece").applyInArrow(light(_send(size, n)), COUNTED)
+    flags = counted.groupBy("bucket").applyInArrow(light(count_again), FLAGS)
+    return pieces.groupBy("piece").cogroup(flags.groupBy("piece")).applyInArrow(light(_merge(size, n)), OUT)

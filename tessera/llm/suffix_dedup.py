@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import packed, session
 from .induced import DEPTH, sorted_suffixes
+from .session import light
 from .words import buffers, covered, mix, windows
 
 ANCHOR = 24
@@ -349,8 +350,8 @@ def suffix_dedup(docs: DataFrame, size: int = 50) -> DataFrame:
     n = session.pieces(docs)
     pieces = session.in_pieces(docs, "doc_id", "text", n=n)
     by_piece = pieces.groupBy("piece")
-    sent = by_piece.applyInArrow(_send(size, n), ANCHORS)
-    states = session.cut(sent.groupBy("bucket").applyInArrow(_judge, STATES))
-    texts = by_piece.cogroup(states.groupBy("piece")).applyInArrow(_send_texts(size, n), SPANS)
-    bits = texts.groupBy("bucket").applyInArrow(_sort(size), STATES)
-    return by_piece.cogroup(states.union(bits).groupBy("piece")).applyInArrow(_remove(size, n), OUT)
+    sent = by_piece.applyInArrow(light(_send(size, n)), ANCHORS)
+    states = session.cut(sent.groupBy("bucket").applyInArrow(light(_judge), STATES))
+    texts = by_piece.cogroup(states.groupBy("piece")).applyInArrow(light(_send_texts(size, n)), SPANS)
+    bits = texts.groupBy("bucket").applyInArrow(light(_sort(size)), STATES)
+    return by_piece.cogroup(states.union(bits).groupBy("piece")).applyInArrow(light(_remove(size, n)), OUT)
