@@ -74,6 +74,12 @@ def _forest(num: int, den: int, sets):
         if len(np.unique(own)) > 1:
             items = sets(rows["items"])
             size = np.array([len(x) for x in items])
+            if len(items) <= 24:  # too few for products to pay
+                i, j = np.triu_indices(len(items), 1)
+                meet = (left[i] & right[j]) | (right[i] & left[j])
+                meet &= (own[i] != own[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j], num, den)
+                found = [(p, q) for p, q in zip(i[meet].tolist(), j[meet].tolist()) if _similar(_common(items[p], items[q]), size[p], size[q], num, den)]
+                return pa.table({"a": pa.array([node[p] for p, _ in found], pa.int64()), "b": pa.array([node[q] for _, q in found], pa.int64())})
             flat, member = np.concatenate(items), np.repeat(np.arange(len(items)), size)
             values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
             shared = times > 1
@@ -139,8 +145,10 @@ def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFram
     per = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all")).filter("all > main.n")
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.select("band", F.col("main")["root"].alias("main"), parts(F.col("all") - F.col("main")["n"]).alias("odd"), parts(F.col("main")["n"]).alias("even"))
-    dealt = placed.join(mixed, "band").withColumn("is_odd", F.col("root") != F.col("main"))
+    few = F.col("all") <= BLOCK  # one task takes them all
+    odd, even = parts(F.col("all") - F.col("main")["n"]), parts(F.col("main")["n"])
+    mixed = mixed.select("band", F.col("main")["root"].alias("main"), F.when(few, 1).otherwise(odd).alias("odd"), F.when(few, 0).otherwise(even).alias("even"))
+    dealt = placed.join(mixed, "band").withColumn("is_odd", (F.col("root") != F.col("main")) | (F.col("even") == 0))
     own = F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("is_odd"), F.col("odd")).otherwise(F.col("even"))).cast("int")
     dealt = dealt.withColumn("block", F.when(F.col("is_odd"), own).otherwise(F.col("odd") + own))
     meets = F.col("odd") + F.when(F.col("is_odd"), F.col("even")).otherwise(0) - 1
