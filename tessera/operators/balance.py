@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,37 +26,37 @@ def largest_differencing(loads: list[int], k: int, equal_size: bool = False) ->
 
     A state is k parts with their sums; joining puts the heaviest part of one
     with the lightest of the other. With equal_size a state starts from k items
-    and all parts have as many. Equal states are taken in the order in which
-    they were made.
+    and all parts have as many. Parts are compared by sum, number of items and
+    items in the order in which they came; of states that differ alike, the one
+    with the larger heaviest part comes first. Parts come out heaviest first.
     """
     if equal_size and len(loads) % k:
         raise ValueError(f"{len(loads)} items don't make {k} parts of one size")
     order = sorted(range(len(loads)), key=lambda i: (loads[i], i))
-    made = count()
 
     def state(parts):
-        parts = sorted(parts, key=lambda p: (-p[0], -len(p[1]), p[1]))
-        return (parts[-1][0] - parts[0][0], next(made), parts)
+        parts = sorted(parts, reverse=True)
+        top = parts[0]
+        return (parts[-1][0] - top[0], -top[0], -top[1], tuple(-i for i in top[2])), parts
 
     step = k if equal_size else 1
-    heap = [state([(loads[i], [i]) for i in order[a : a + step]] + [(0, [])] * (k - step)) for a in range(0, len(order), step)]
+    heap = [state([(loads[i], 1, (i,)) for i in order[a : a + step]] + [(0, 0, ())] * (k - step)) for a in range(0, len(order), step)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        heapq.heappush(heap, state([(x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))]))
-    parts = [sorted(p[1]) for p in heap[0][2]] if heap else [[] for _ in range(k)]
-    return sorted(parts, key=lambda p: p[0] if p else len(loads))
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        heapq.heappush(heap, state([(x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, reversed(b))]))
+    return [sorted(p[2]) for p in heap[0][1]] if heap else [[] for _ in range(k)]
 
 
 def greedy(loads: list[int], k: int, equal_size: bool = False) -> list[list[int]]:
-    """Each item, heaviest first, to the lightest part, the first of equal ones; with equal_size every item carries a bias that evens sizes out."""
+    """Each item in turn to the lightest part, the first of equal ones; with equal_size every item carries a bias that evens sizes out."""
     bias = sum(loads) + 1 if equal_size else 0
-    sums, parts = [0] * k, [[] for _ in range(k)]
-    for i in sorted(range(len(loads)), key=lambda i: (-loads[i], i)):
-        p = min(range(k), key=lambda j: (sums[j], j))
-        sums[p] += loads[i] + bias
-        parts[p].append(i)
-    return [sorted(p) for p in parts]
+    lightest, parts = [(0, j) for j in range(k)], [[] for _ in range(k)]
+    for i, load in enumerate(loads):
+        total, j = lightest[0]
+        heapq.heapreplace(lightest, (total + load + bias, j))
+        parts[j].append(i)
+    return parts
 
 
 METHODS = {"differencing": largest_differencing, "greedy": greedy}
@@ -85,11 +84,11 @@ def micro_batch_count(total: int, most: int, groups: int, multiple: int = 1) ->
     return math.ceil(k / multiple) * multiple
 
 
-def ends_small(df: DataFrame, batch: str, part: str = "part", load: str = "load") -> DataFrame:
-    """(batch, part, turn): parts by falling load, every other one, the rest behind them in rising order, so that small ones come first and last."""
-    sums = df.groupBy(batch, part).agg(F.sum(load).alias("_sum"))
+def ends_small(df: DataFrame, batch: str, row: str, part: str = "part", load: str = "load") -> DataFrame:
+    """(batch, part, turn): parts by falling load, of equal ones the one whose first row comes later, every other one, the rest behind them in rising order, so that small ones come first and last."""
+    sums = df.groupBy(batch, part).agg(F.sum(load).alias("_sum"), F.min(row).alias("_first"))
     w = W.partitionBy(batch)
-    ranked = sums.withColumn("_r", F.row_number().over(w.orderBy(F.col("_sum").desc(), part)) - 1).withColumn("_n", F.count("*").over(w))
+    ranked = sums.withColumn("_r", F.row_number().over(w.orderBy(F.col("_sum").desc(), F.col("_first").desc())) - 1).withColumn("_n", F.count("*").over(w))
     evens = F.floor((F.col("_n") + 1) / 2)
     turn = F.when(F.col("_r") % 2 == 0, evens - 1 - F.floor(F.col("_r") / 2)).otherwise(evens + F.floor(F.col("_r") / 2))
     return ranked.select(batch, part, F.col("_sum").alias(load), turn.cast("int").alias("turn"))

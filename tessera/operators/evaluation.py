@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
+
 
 def reduce_metrics(df: DataFrame, name="name", value="value") -> DataFrame:
     """One value for each metric name: the largest if the name has max in it, else the smallest if it has min, else the mean."""
@@ -217,10 +219,22 @@ def mismatches(a: Column, b: Column, mask: Column) -> Column:
     return F.aggregate(F.filter(F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m")), lambda z: (z["m"] != 0) & (z["a"] != z["b"])), F.lit(0), lambda s, x: s + 1)
 
 
-def variance_proxies(df: DataFrame, squares: Column, gradient: Column, length: Column) -> DataFrame:
-    """Means over rows of a squared return times a gradient's squared norm, of the squared mean product, and their difference."""
-    x = df.select((squares * gradient).alias("a"), (F.sqrt(squares * gradient)).alias("r"), length.alias("n")).filter("n > 0")
-    return x.agg(F.avg("a").alias("power"), (F.avg("r") * F.avg("r")).alias("signal"), (F.avg("a") - F.avg("r") * F.avg("r")).alias("noise"))
+def variance_proxies(df: DataFrame, advantages: str, paths: str, mask: str, weights: str | None = None, gradient_norm: float | None = None) -> DataFrame:
+    """One row of proxies for the variance of the gradient, from arrays of tokens.
+
+    paths: each token's share of a trajectory's squared path norm W; weights:
+    importance weights that paths already carry squared. total_power is the
+    mean of A**2 * W, times the squared mean weight if there are weights;
+    signal_strength the squared norm of the mean gradient, and pure_noise what
+    total_power exceeds it by, for each row but one. Without a gradient norm
+    both are 0. A row without masked tokens counts with 0; no rows give nulls.
+    """
+    plain = paths if weights is None else F.zip_with(paths, weights, lambda w, q: w / F.greatest(q * q, F.lit(1e-10)))
+    x = df.select(A.masked_mean(advantages, mask).alias("a"), A.masked_total(paths, mask).alias("w"), F.greatest(A.masked_total(plain, mask), F.lit(0.0)).alias("o"), (F.lit(1.0) if weights is None else A.masked_mean(weights, mask)).alias("q"))
+    signal = F.lit(0.0 if gradient_norm is None else float(gradient_norm) ** 2)
+    power = F.avg(F.col("q") ** 2 * F.col("a") ** 2 * F.col("o"))
+    noise = F.lit(0.0) if gradient_norm is None else F.when(F.count("*") > 1, F.greatest((power - signal) / (F.count("*") - 1), F.lit(0.0))).otherwise(0.0)
+    return x.agg(signal.alias("signal_strength"), power.alias("total_power"), noise.alias("pure_noise"), F.avg(F.col("a") ** 2).alias("expected_a_squared"), F.avg("w").alias("expected_w"))
 
 
 def strict_saturation(df: DataFrame, expected: int, group="uid", criterion="criterion", score="score", best="best", valid="valid") -> DataFrame:

@@ -166,6 +166,16 @@ def mean_std(spark, sf):
     return rows.filter("value IS NOT NULL").groupBy("source", "metric").agg(F.round(F.avg("value"), 5).alias("value"))
 
 
+@query("a13_variance_proxies", f"""WITH {I.TOKENS}, x AS (SELECT row_id, coalesce(sum(CASE WHEN m <> 0 THEN r END), 0) / (sum(m) + 1e-8::DOUBLE) AS a, coalesce(sum(CASE WHEN m <> 0 THEN pi2 END), 0) AS w,
+ greatest(coalesce(sum(CASE WHEN m <> 0 THEN pi2 / greatest(exp(lp - old) * exp(lp - old), 1e-10::DOUBLE) END), 0), 0) AS o, coalesce(sum(CASE WHEN m <> 0 THEN exp(lp - old) END), 0) / (sum(m) + 1e-8::DOUBLE) AS q FROM tok GROUP BY row_id),
+ p AS (SELECT avg(q * q * a * a * o) AS power, avg(a * a) AS a2, avg(w) AS w, count(*) AS n FROM x)
+ SELECT round(0.0001::DOUBLE, 9) AS signal_strength, round(power, 9) AS total_power, round(greatest((power - 0.0001::DOUBLE) / (n - 1), 0), 9) AS pure_noise, round(a2, 9) AS expected_a_squared, round(w, 6) AS expected_w FROM p""")
+def variance_proxies(spark, sf):
+    x = I.tokens(spark, sf).withColumn("weights", F.zip_with("log_probs", "old_log_probs", lambda a, b: F.exp(a - b)))
+    out = E.variance_proxies(x, "rewards", "sum_pi_squared", "mask", "weights", 0.01)
+    return out.select(*[F.round(c, 6 if c == "expected_w" else 9).alias(c) for c in out.columns])
+
+
 @query("a16_validation_metrics")
 def validation(spark, sf):
     """Best, worst and majority of N by bootstrap over all samples of each group; tests repeat the draws in NumPy."""

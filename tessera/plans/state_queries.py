@@ -24,7 +24,11 @@ def differencing(spark, sf):
     return B.deal(d, "source", "doc_id", "n_chars", 4)
 
 
-@query("r18_greedy")
+@query("r18_greedy", """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+ g AS (SELECT DISTINCT source, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS doc_id, -1 AS part, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS d FROM documents
+ UNION ALL SELECT source, r, doc_id, part, a + CASE part WHEN 0 THEN n_chars ELSE 0 END, b + CASE part WHEN 1 THEN n_chars ELSE 0 END, c + CASE part WHEN 2 THEN n_chars ELSE 0 END, d + CASE part WHEN 3 THEN n_chars ELSE 0 END
+ FROM (SELECT g.source, o.r, o.doc_id, o.n_chars, a, b, c, d, CASE WHEN a <= b AND a <= c AND a <= d THEN 0 WHEN b <= c AND b <= d THEN 1 WHEN c <= d THEN 2 ELSE 3 END AS part FROM g JOIN o ON o.source = g.source AND o.r = g.r + 1))
+ SELECT source, doc_id, CAST(part AS INTEGER) AS part FROM g WHERE r > 0""")
 def greedy(spark, sf):
     return B.deal(I.table(spark, sf, "documents"), "source", "doc_id", "n_chars", 4, method="greedy")
 
@@ -40,11 +44,11 @@ def part_stats(spark, sf):
     return B.part_stats(d, "part", "n_chars", 10).withColumn("mean", F.round("mean", 4))
 
 
-@query("r20_ends_small", """WITH s AS (SELECT source, doc_id % 5 AS part, CAST(sum(n_chars) AS BIGINT) AS load FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY load DESC, part) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM s)
+@query("r20_ends_small", """WITH s AS (SELECT source, doc_id % 5 AS part, CAST(sum(n_chars) AS BIGINT) AS load, min(doc_id) AS first FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY load DESC, first DESC) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM s)
  SELECT source, part, load, CAST(CASE WHEN r % 2 = 0 THEN (n + 1) // 2 - 1 - r // 2 ELSE (n + 1) // 2 + r // 2 END AS INTEGER) AS turn FROM r""")
 def ends_small(spark, sf):
-    d = I.table(spark, sf, "documents").select("source", (F.col("doc_id") % 5).alias("part"), F.col("n_chars").alias("load"))
-    return B.ends_small(d, "source")
+    d = I.table(spark, sf, "documents").select("source", "doc_id", (F.col("doc_id") % 5).alias("part"), F.col("n_chars").alias("load"))
+    return B.ends_small(d, "source", "doc_id")
 
 
 @query("r21_inverse", "SELECT doc_id AS pos, n_chars FROM documents")
