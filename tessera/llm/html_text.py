@@ -1,11 +1,13 @@
 """Main text of web pages by two passes over their blocks.
 
 A page's markup is cut into blocks at block-level tags. The first pass judges
-each block by its stop-word density, length and link density; blocks inside
-elements that never hold an article's text (menus, forms, adverts, comments
-and the like, by tag, role or class) are bad whatever they say. Short blocks
-stay undecided. In the second pass they take the label of the nearest decided
-neighbours; where these differ, a block inside the page's article is good.
+each block by its length, stop-word density and link density, and by where it
+stands: what is needed to be good is little inside a page's article, more
+outside it, and more again where a class or id hints at another part of the
+page. Menus, forms and the like, by tag, or by a class that names nothing else,
+are bad whatever they say. Short blocks stay undecided. In the second pass they
+take the label of the nearest decided neighbours; where these differ, a block
+inside the page's article is good.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from pyspark.sql import DataFrame
 from .session import light
 
 #: Elements by their part in a page.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "textarea", "title", "noframes", "xmp"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "textarea", "title", "noframes", "xmp"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "head", "audio", "video", "datalist", "label", "optgroup", "option"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "meter", "output", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"math", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "munder", "mover", "munderover", "mstyle", "mspace", "semantics", "object", "canvas", "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "meter", "output", "picture", "progress", "q", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 MAIN = {"article", "main"}
 #: Words in class, id and role that tell a part of a page that isn't its article.
 NAMES = {
@@ -31,6 +33,11 @@ NAMES = {
     "footer", "header", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promoted", "promotion", "related", "replies", "reply", "respond", "search",
     "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "sponsors", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets", "alert", "gdpr", "login", "recommend", "recommended", "recommendations",
 }
+#: Words that say nothing about a part: a class of them and of one above names that part, one with other words only hints at it.
+GENERIC = {
+    "area", "articles", "aside", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "center", "col", "column", "container", "content", "fixed", "form", "global", "grid", "group", "holder", "icons", "info", "inline", "inner", "item", "items", "left", "link", "links", "list", "local", "main",
+    "media", "message", "outer", "overlay", "page", "panel", "post", "posts", "primary", "region", "right", "rail", "row", "secondary", "section", "site", "slot", "small", "stories", "sub", "text", "thread", "title", "top", "unit", "view", "wrap", "wrapper", "zone", "js", "ui", "the", "and", "us", "your", "hidden", "large", "desktop", "mobile", "sticky",
+}
 #: Words by which a name only mentions such a part, as in has-sidebar.
 WITHOUT = {"has", "no", "with", "without"}
 #: Frequent words of the languages at hand.
@@ -41,7 +48,8 @@ STOP_WORDS = frozenset(
     " al como con cuando del el ella en es esta este las lo los más me mi muy no o para pero por se sin sobre su sus una uno y ya".split()
 )
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+#: A quote counts where its closing one ends an attribute; else it is a character like others, so that a tag with an open quote ends all the same.
+TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[\"'])*+)(?:>|$))", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WHITE = re.compile(r"\s+")
@@ -54,31 +62,65 @@ SHORT, STOP_LOW, STOP_HIGH, LINKS = 70, 0.02, 0.08, 0.4
 class Block:
     main: bool
     bad: bool
+    hint: bool = False
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _odd(attributes: str, main: bool) -> bool:
-    """Whether an element's attributes name a part that isn't the article."""
+#: What an element's attributes say: it names a part that isn't the article, hints at one, or neither.
+NAMED, HINT, NOTHING = 2, 1, 0
+
+
+def _says(attributes: str, whole: bool) -> int:
+    """whole: only a class that is one of the names as it stands counts."""
+    most = NOTHING
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return NAMED
         if name in ("class", "id", "role"):
             for token in value.split():
-                words = {token.lower()} if main else {p.lower() for p in PART.findall(token)}
+                words = {token.lower()} if whole else {p.lower() for p in PART.findall(token)}
                 if words & NAMES and not words & WITHOUT:
-                    return True
-    return False
+                    if words <= NAMES | GENERIC:
+                        return NAMED
+                    most = HINT
+    return most
+
+
+class Place:
+    """The open elements that change where we are, with counts instead of searches."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool]] = []
+        self.open: dict[str, int] = {}
+        self.says, self.main = [0, 0, 0], 0
+
+    def enter(self, tag: str, says: int, main: bool) -> None:
+        self.stack.append((tag, says, main))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.says[says] += 1
+        self.main += main
+
+    def leave(self, tag: str) -> None:
+        while True:
+            top, says, main = self.stack.pop()
+            self.open[top] -= 1
+            self.says[says] -= 1
+            self.main -= main
+            if top == tag:
+                return
+
+    def block(self) -> Block:
+        return Block(self.main > 0, self.says[NAMED] > 0, self.says[HINT] > 0)
 
 
 def blocks(page: str) -> list[Block]:
     """A page's blocks in order, those without text left out."""
     out: list[Block] = []
-    now = Block(False, False)
-    stack: list[tuple[str, bool, bool]] = []  # open elements that change where we are: tag, outside the article's text, inside the article
+    now, place = Block(False, False), Place()
     links, at, n = 0, 0, len(page)
 
     def say(text: str) -> None:
@@ -89,10 +131,11 @@ def blocks(page: str) -> list[Block]:
 
     def end_block() -> None:
         nonlocal now
-        now.text = WHITE.sub(" ", html.unescape("".join(now.parts))).strip()
-        if now.text:
-            out.append(now)
-        now = Block(any(m for *_, m in stack), any(b for _, b, _ in stack))
+        if now.parts:
+            now.text = WHITE.sub(" ", html.unescape("".join(now.parts))).strip()
+            if now.text:
+                out.append(now)
+        now = place.block()
 
     while at < n:
         m = TAG.search(page, at)
@@ -113,74 +156,86 @@ def blocks(page: str) -> list[Block]:
             links = 0 if closing else 1
         if tag in INLINE:
             if tag in VOID or closing:
-                if closing and any(t == tag for t, *_ in stack):
+                if closing and place.open.get(tag):
+                    end_block()
+                    place.leave(tag)
                     end_block()
-                    while stack.pop()[0] != tag:
-                        pass
+            elif says := _says(attributes, False):
+                if says == NAMED or place.main == 0:
+                    end_block()
+                    place.enter(tag, NAMED, False)
                     end_block()
-            elif _odd(attributes, False):
-                end_block()
-                stack.append((tag, True, False))
-                end_block()
             continue
         end_block()
         links = 0
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, *_ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if place.open.get(tag):
+                place.leave(tag)
         elif tag == "p":
             pass  # paragraphs often stay open; they say nothing about where we are unless named
         else:
-            inside = any(m_ for *_, m_ in stack)
-            bad = tag in ASIDE and not (tag == "header" and inside) or _odd(attributes, tag in MAIN or tag == "body")
-            if bad or tag in MAIN or tag in ASIDE or any(t == tag for t, *_ in stack) or tag in ("div", "section", "ul", "ol", "dl", "table"):
-                stack.append((tag, bad, tag in MAIN and not bad))
-        if tag == "p" and not closing and _odd(attributes, False):
-            now = Block(any(m_ for *_, m_ in stack), True)
-        else:
-            now = Block(any(m_ for *_, m_ in stack), any(b for _, b, _ in stack))
+            inside = place.main > 0
+            says = NAMED if tag in ASIDE and not (tag == "header" and inside) else _says(attributes, tag in MAIN or tag == "body")
+            if says == HINT and not inside:
+                says = NAMED
+            if says or tag in MAIN or tag in ASIDE or place.open.get(tag) or tag in ("div", "section", "ul", "ol", "dl", "table"):
+                place.enter(tag, says, tag in MAIN and says != NAMED)
+        now = place.block()
+        if tag == "p" and not closing:
+            says = _says(attributes, False)
+            now.bad |= says == NAMED or (says == HINT and not now.main)
+            now.hint |= says == HINT
     end_block()
     return out
 
 
+def densities(b: Block) -> tuple[int, float, float]:
+    """Characters, share of stop words among words, and of characters in links."""
+    words = b.text.lower().split()
+    stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
+    return len(b.text), stop, b.linked / max(1, len(b.text.replace(" ", "")))
+
+
+def first_pass(b: Block, marked: bool) -> bool | None:
+    """A block's label by itself; None if it is too short to tell. marked: whether the page has an article."""
+    size, stop, links = densities(b)
+    if b.bad:
+        return False
+    if links > LINKS and (b.hint or not b.main):
+        return False
+    if size < SHORT:
+        return False if marked and not b.main else None
+    if b.main:  # lists and tables of an article have few stop words
+        return stop >= STOP_LOW if b.hint else True
+    if marked:
+        return stop >= STOP_HIGH  # a page that marks its article has little else worth keeping
+    return stop >= (STOP_LOW if size > 3 * SHORT else STOP_HIGH)
+
+
 def classify(found: list[Block]) -> list[bool]:
     """Which blocks are the article's."""
     marked = any(b.main and not b.bad for b in found)
-    labels: list[bool | None] = []
-    for b in found:
-        words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(1, len(words))
-        links = b.linked / max(1, len(b.text.replace(" ", "")))
-        if b.bad or (links > LINKS and not b.main):
-            labels.append(False)
-        elif marked and not b.main and (len(b.text) < SHORT or stop < STOP_HIGH):
-            labels.append(False)  # a page that marks its article has little else worth keeping
-        elif b.main and len(b.text) >= SHORT:
-            labels.append(True)  # lists and tables of an article have few stop words
-        elif len(b.text) < SHORT:
-            labels.append(None)
-        else:
-            labels.append(stop >= (STOP_LOW if len(b.text) > 3 * SHORT else STOP_HIGH))
-    before: list[bool | None] = []
-    last = None
-    for x in labels:
-        last = x if x is not None else last
-        before.append(last)
-    after: list[bool | None] = []
-    last = None
-    for x in reversed(labels):
-        last = x if x is not None else last
-        after.append(last)
-    after.reverse()
+    labels = [first_pass(b, marked) for b in found]
+
+    def nearest(order) -> dict[int, bool | None]:
+        """The label of the last decided block before each, and inside an article of the last one there."""
+        out, last = {}, {True: None, False: None}
+        for k in order:
+            out[k] = last[found[k].main]
+            if labels[k] is not None and not (found[k].bad and found[k].main):
+                last[False] = labels[k]
+                last[True] = labels[k] if found[k].main else None
+        return out
+
+    before, after = nearest(range(len(found))), nearest(reversed(range(len(found))))
     out = []
-    for b, x, p, q in zip(found, labels, before, after):
-        if x is None:
-            near = {y for y in (p, q) if y is not None}
-            x = b.main or (near == {True})
-        out.append(x)
+    for k, (b, label) in enumerate(zip(found, labels)):
+        if label is None:
+            near = {x for x in (before[k], after[k]) if x is not None}
+            label = near != {False} if b.main else near == {True}
+        out.append(label)
     return out
 
 
