@@ -62,6 +62,10 @@ def trim() -> None:
         trim(0)
 
 
+#: Bytes of a group after which memory is handed back; that takes longer than a small group's work.
+WORTH = 1 << 20
+
+
 def light(f):
     """``f``, a function of Arrow batches or tables, that leaves no freed memory behind: Python workers outlive their tasks."""
     if inspect.isgeneratorfunction(f):
@@ -76,7 +80,8 @@ def light(f):
             try:
                 return f(left, right)
             finally:
-                trim()
+                if left.nbytes + right.nbytes > WORTH:
+                    trim()
 
     else:
 
@@ -84,7 +89,8 @@ def light(f):
             try:
                 return f(rows)
             finally:
-                trim()
+                if rows.nbytes > WORTH:
+                    trim()
 
     return run
 

@@ -74,7 +74,7 @@ def _forest(num: int, den: int, sets):
         if len(np.unique(own)) > 1:
             items = sets(rows["items"])
             size = np.array([len(x) for x in items])
-            if len(items) <= 24:  # too few for products to pay
+            if len(items) <= 8:  # too few for products to pay
                 i, j = np.triu_indices(len(items), 1)
                 meet = (left[i] & right[j]) | (right[i] & left[j])
                 meet &= (own[i] != own[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j], num, den)
