@@ -20,11 +20,13 @@ def strip(text: Column) -> Column:
 
 def extract_json(text: Column) -> Column:
     """The JSON value in a model's answer: a fenced block or the whole text, else what lies between its first and last brace; null if neither parses."""
-    plain = strip(text)
-    fenced = F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    body = F.when(F.length(fenced) > 0, fenced).otherwise(plain)
-    braces = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.try_parse_json(body), F.try_parse_json(braces))
+
+    def parsed(plain):
+        fenced = F.nullif(F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
+        braces = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
+        return F.coalesce(F.try_parse_json(F.coalesce(fenced, plain)), F.try_parse_json(braces))
+
+    return let(strip(text), parsed)
 
 
 def kind(value: Column) -> Column:
@@ -64,59 +66,144 @@ def criteria(rubric: Column) -> Column:
     return at(rubric, "$.criteria", CRITERION)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def criterion_table(rubric: Column) -> Column:
-    """Typed criteria (id, max); of use where rubric_problem is null."""
-    return F.transform(criteria(rubric), lambda c: F.struct(_text(c["id"]).alias("id"), _int(c["max_points"]).alias("max")))
+    """Typed criteria (id, max), null where the type is another; of use where rubric_problem is null."""
+    return F.transform(criteria(rubric), lambda c: F.struct(F.when(is_text(c["id"]), _text(c["id"])).alias("id"), F.when(is_integer(c["max_points"]), _int(c["max_points"])).alias("max")))
 
 
-def rubric_problem(rubric: Column) -> Column:
-    """Null for a sound rubric, else what is wrong first: its criteria must be a list, not empty, with different ids that aren't blank and positive whole maxima."""
-    c = criteria(rubric)
-    ids = F.transform(c, lambda x: _text(x["id"]))
+def _said(v: Column) -> Column:
+    """The number that a value states: 10, 10.0, "10" and "10.0" all say ten; true doesn't."""
+    return F.coalesce(F.when(is_number(v), F.try_variant_get(v, "$", "double")), F.when(is_text(v), _text(v).try_cast("double")))
+
+
+def _scores(judgment: Column) -> Column:
+    def typed(s):
+        return F.struct(
+            F.when(is_text(s["id"]), _text(s["id"])).alias("id"),
+            F.when(is_integer(s["score"]), _int(s["score"])).alias("score"),
+            _said(s["max"]).alias("max"),
+            F.coalesce(is_text(s["reason"]) & (F.length(strip(_text(s["reason"]))) > 0), F.lit(False)).alias("reasoned"),
+        )
+
+    return F.transform(at(judgment, "$.criteria_scores", SCORE), typed)
+
+
+def _caps(rubric: Column) -> Column:
+    def typed(c):
+        limit = F.when(is_number(c["max_normalized_score"]), F.try_variant_get(c["max_normalized_score"], "$", "double"))
+        return F.struct(_text(c["criterion_id"]).alias("id"), F.when(is_integer(c["score_lte"]), _int(c["score_lte"])).alias("lte"), limit.alias("limit"))
+
+    return F.transform(at(rubric, "$.reward_aggregation.caps", CAP), typed)
+
+
+def _rubric(rubric: Column) -> Column:
+    """All that is asked of a rubric, typed."""
+    there = at(rubric, "$.reward_aggregation", "variant").isNotNull()
+    kind_ = F.coalesce(at(rubric, "$.reward_aggregation.type", "string"), F.lit(""))
+    return F.struct(rubric.isNotNull().alias("json"), criterion_table(rubric).alias("criteria"), there.alias("there"), kind_.alias("kind"), _caps(rubric).alias("caps"))
+
+
+def _judgment(judgment: Column) -> Column:
+    """All that is asked of a judgment, typed."""
+    return F.struct(judgment.isNotNull().alias("json"), _scores(judgment).alias("scores"), let(at(judgment, "$.total_score", "variant"), _said).alias("total"), let(at(judgment, "$.total_max", "variant"), _said).alias("best"))
+
+
+def _rubric_problem(r: Column) -> Column:
+    c = r["criteria"]
+    ids = F.transform(c, lambda x: x["id"])
     return (
-        F.when(rubric.isNull(), "not JSON")
+        F.when(~r["json"], "not JSON")
         .when(c.isNull() | (F.size(c) == 0), "no criteria")
-        .when(F.exists(c, lambda x: ~is_text(x["id"]) | F.coalesce(F.length(strip(_text(x["id"]))) == 0, F.lit(True))), "blank id")
+        .when(F.exists(c, lambda x: F.coalesce(F.length(strip(x["id"])) == 0, F.lit(True))), "blank id")
         .when(F.size(F.array_distinct(ids)) != F.size(ids), "repeated id")
-        .when(F.exists(c, lambda x: ~is_integer(x["max_points"])), "maximum is not an integer")
-        .when(F.exists(c, lambda x: _int(x["max_points"]) <= 0), "maximum is not positive")
+        .when(F.exists(c, lambda x: x["max"].isNull()), "maximum is not an integer")
+        .when(F.exists(c, lambda x: x["max"] <= 0), "maximum is not positive")
     )
 
 
-def aggregation_problem(rubric: Column) -> Column:
-    """Null where a rubric has no aggregation or a sound one: sums with caps, each on a known criterion, within bounds."""
-    kind_ = at(rubric, "$.reward_aggregation.type", "string")
-    caps = at(rubric, "$.reward_aggregation.caps", CAP)
-    there = at(rubric, "$.reward_aggregation", "variant").isNotNull()
-    ids = F.transform(criterion_table(rubric), lambda c: c["id"])
-    best = F.map_from_entries(criterion_table(rubric))
-    limit = lambda c: F.try_variant_get(c["max_normalized_score"], "$", "double")
-    known = lambda c: F.array_contains(ids, _text(c["criterion_id"]))
+def _aggregation_problem(r: Column) -> Column:
+    caps = r["caps"]
+
+    def best(c):
+        return F.get(F.filter(r["criteria"], lambda x: x["id"] == c["id"]), F.lit(0))["max"]
+
     return (
-        F.when(~there, F.lit(None).cast("string"))
-        .when(F.coalesce(kind_, F.lit("")) != "normalized_sum_with_caps", "unknown aggregation")
+        F.when(~r["there"], F.lit(None).cast("string"))
+        .when(r["kind"] != "normalized_sum_with_caps", "unknown aggregation")
         .when(caps.isNull(), "no caps")
-        .when(F.exists(caps, lambda c: ~F.coalesce(known(c), F.lit(False))), "cap on an unknown criterion")
-        .when(F.exists(caps, lambda c: ~is_integer(c["score_lte"]) | F.coalesce((_int(c["score_lte"]) < 0) | (_int(c["score_lte"]) > F.try_element_at(best, _text(c["criterion_id"]))), F.lit(True))), "cap's score out of bounds")
-        .when(F.exists(caps, lambda c: ~is_number(c["max_normalized_score"]) | F.coalesce((limit(c) < 0) | (limit(c) > 1), F.lit(True))), "cap's limit out of bounds")
+        .when(F.exists(caps, lambda c: ~F.coalesce(F.exists(r["criteria"], lambda x: x["id"] == c["id"]), F.lit(False))), "cap on an unknown criterion")
+        .when(F.exists(caps, lambda c: F.coalesce((c["lte"] < 0) | (c["lte"] > best(c)), F.lit(True))), "cap's score out of bounds")
+        .when(F.exists(caps, lambda c: F.coalesce((c["limit"] < 0) | (c["limit"] > 1), F.lit(True))), "cap's limit out of bounds")
     )
 
 
-def judgment_problem(rubric: Column, judgment: Column) -> Column:
-    """Null for a judgment that fits its rubric, else what is wrong first: as many scores, the same ids in order, whole scores within bounds, reasons that aren't blank."""
-    c, s = criterion_table(rubric), at(judgment, "$.criteria_scores", SCORE)
-    pairs = F.zip_with(c, s, lambda a, b: F.struct(a["id"].alias("want"), a["max"].alias("max"), b["id"].alias("id"), b["score"].alias("score"), b["reason"].alias("reason")))
+def _judgment_problem(r: Column, j: Column) -> Column:
+    c, s = r["criteria"], j["scores"]
+    pairs = F.zip_with(c, s, lambda a, b: F.struct(a["id"].alias("want"), a["max"].alias("max"), b["id"].alias("id"), b["score"].alias("score"), b["reasoned"].alias("reasoned")))
     return (
-        F.when(rubric_problem(rubric).isNotNull(), "bad rubric")
-        .when(judgment.isNull(), "not JSON")
+        F.when(_rubric_problem(r).isNotNull(), "bad rubric")
+        .when(~j["json"], "not JSON")
         .when(s.isNull() | (F.size(s) != F.size(c)), "wrong number of scores")
-        .when(F.exists(pairs, lambda p: ~is_text(p["id"]) | F.coalesce(_text(p["id"]) != p["want"], F.lit(True))), "wrong id")
-        .when(F.exists(pairs, lambda p: ~is_integer(p["score"])), "score is not an integer")
-        .when(F.exists(pairs, lambda p: (_int(p["score"]) < 0) | (_int(p["score"]) > p["max"])), "score out of bounds")
-        .when(F.exists(pairs, lambda p: ~is_text(p["reason"]) | F.coalesce(F.length(strip(_text(p["reason"]))) == 0, F.lit(True))), "blank reason")
+        .when(F.exists(pairs, lambda p: F.coalesce(p["id"] != p["want"], F.lit(True))), "wrong id")
+        .when(F.exists(pairs, lambda p: p["score"].isNull()), "score is not an integer")
+        .when(F.exists(pairs, lambda p: (p["score"] < 0) | (p["score"] > p["max"])), "score out of bounds")
+        .when(F.exists(pairs, lambda p: ~p["reasoned"]), "blank reason")
     )
 
 
+def _sum(items: Column, field: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda t, x: t + x[field])
+
+
+def _raw_score(r: Column, j: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _sum(j["scores"], "score") / _sum(r["criteria"], "max")))
+
+
+def _was_normalized(r: Column, j: Column) -> Column:
+    def other(said, want):
+        return ~F.coalesce(said == want.cast("double"), F.lit(False))
+
+    maxima = F.exists(F.zip_with(r["criteria"], j["scores"], lambda a, b: other(b["max"], a["max"])), lambda x: x)
+    return maxima | other(j["total"], _sum(j["scores"], "score")) | other(j["best"], _sum(r["criteria"], "max"))
+
+
+def _apply_caps(r: Column, j: Column, raw: Column) -> Column:
+    zero = F.struct(raw.cast("double").alias("score"), F.array().cast("array<string>").alias("binding"))
+
+    def step(state, cap):
+        low = F.exists(j["scores"], lambda s: (s["id"] == cap["id"]) & (s["score"] <= cap["lte"]))
+        binds = F.coalesce(low, F.lit(False)) & (cap["limit"] < state["score"])
+        return F.struct(F.when(binds, cap["limit"]).otherwise(state["score"]).alias("score"), F.when(binds, F.array_append(state["binding"], cap["id"])).otherwise(state["binding"]).alias("binding"))
+
+    none = F.array().cast("array<struct<id:string,lte:bigint,limit:double>>")
+    return F.aggregate(F.coalesce(r["caps"], none), zero, step)
+
+
+def _both(rubric: Column, judgment: Column, body) -> Column:
+    typed = let(F.struct(rubric.alias("r"), judgment.alias("j")), lambda x: F.struct(_rubric(x["r"]).alias("r"), _judgment(x["j"]).alias("j")))
+    return let(typed, lambda x: body(x["r"], x["j"]))
+
+
+def rubric_problem(rubric: Column) -> Column:
+    """Null for a sound rubric, else what is wrong first: its criteria must be a list, not empty, with different ids that aren't blank and positive whole maxima."""
+    return let(let(rubric, _rubric), _rubric_problem)
+
+
+def aggregation_problem(rubric: Column) -> Column:
+    """Null where a rubric has no aggregation or a sound one: sums with caps, each on a known criterion, within bounds."""
+    return let(let(rubric, _rubric), _aggregation_problem)
+
+
+def judgment_problem(rubric: Column, judgment: Column) -> Column:
+    """Null for a judgment that fits its rubric, else what is wrong first: as many scores, the same ids in order, whole scores within bounds, reasons that aren't blank."""
+    return _both(rubric, judgment, _judgment_problem)
+
+
 def score_table(judgment: Column) -> Column:
     """Typed scores (id, score)."""
     return F.transform(at(judgment, "$.criteria_scores", SCORE), lambda s: F.struct(_text(s["id"]).alias("id"), _int(s["score"]).alias("score")))
@@ -124,46 +211,35 @@ def score_table(judgment: Column) -> Column:
 
 def was_normalized(rubric: Column, judgment: Column) -> Column:
     """Whether maxima or totals in the judgment differ from the rubric's and the scores', which count."""
-    c, s = criterion_table(rubric), at(judgment, "$.criteria_scores", SCORE)
-
-    def same(v, want):
-        # 10, 10.0, "10" and "10.0" all say ten; true doesn't
-        said = F.coalesce(F.when(is_number(v), F.try_variant_get(v, "$", "double")), F.when(is_text(v), F.try_variant_get(v, "$", "string").try_cast("double")))
-        return F.coalesce(said == want.cast("double"), F.lit(False))
-
-    maxima = F.exists(F.zip_with(c, s, lambda a, b: ~same(b["max"], a["max"])), lambda x: x)
-    total = F.aggregate(score_table(judgment), F.lit(0).cast("bigint"), lambda t, x: t + x["score"])
-    best = F.aggregate(c, F.lit(0).cast("bigint"), lambda t, x: t + x["max"])
-    return maxima | ~same(at(judgment, "$.total_score", "variant"), total) | ~same(at(judgment, "$.total_max", "variant"), best)
+    return _both(rubric, judgment, _was_normalized)
 
 
 def raw_score(rubric: Column, judgment: Column) -> Column:
     """Scores over maxima, between 0 and 1."""
-    total = F.aggregate(score_table(judgment), F.lit(0).cast("bigint"), lambda t, x: t + x["score"])
-    best = F.aggregate(criterion_table(rubric), F.lit(0).cast("bigint"), lambda t, x: t + x["max"])
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total / best))
+    return _both(rubric, judgment, _raw_score)
 
 
 def apply_caps(rubric: Column, judgment: Column, raw: Column) -> Column:
     """A struct: score after all caps in order, and ids of those that lowered it."""
-    scores = F.map_from_entries(score_table(judgment))
-    caps = F.transform(F.coalesce(at(rubric, "$.reward_aggregation.caps", CAP), F.array().cast(CAP)), lambda c: F.struct(_text(c["criterion_id"]).alias("id"), _int(c["score_lte"]).alias("lte"), F.try_variant_get(c["max_normalized_score"], "$", "double").alias("limit")))
-    zero = F.struct(raw.cast("double").alias("score"), F.array().cast("array<string>").alias("binding"))
+    return let(raw, lambda x: _both(rubric, judgment, lambda r, j: _apply_caps(r, j, x)))
 
-    def step(state, cap):
-        binds = F.coalesce(F.try_element_at(scores, cap["id"]) <= cap["lte"], F.lit(False)) & (cap["limit"] < state["score"])
-        return F.struct(F.when(binds, cap["limit"]).otherwise(state["score"]).alias("score"), F.when(binds, F.array_append(state["binding"], cap["id"])).otherwise(state["binding"]).alias("binding"))
 
-    return F.aggregate(caps, zero, step)
+def reward(rubric: Column, judgment: Column) -> Column:
+    """The record of one judged response: valid, problem, raw and final score, binding caps, whether numbers were put right. What isn't valid scores 0.
 
+    Rubric and judgment are typed once; all rules read the typed values.
+    """
 
-def reward(rubric: Column, judgment: Column) -> Column:
-    """The record of one judged response: valid, problem, raw and final score, binding caps, whether numbers were put right. What isn't valid scores 0."""
-    problem = F.coalesce(judgment_problem(rubric, judgment), aggregation_problem(rubric))
-    ok = problem.isNull()
-    raw = F.when(ok, raw_score(rubric, judgment))
-    capped = F.when(ok, apply_caps(rubric, judgment, raw))
-    return F.struct(ok.cast("int").alias("valid"), problem.alias("problem"), F.coalesce(raw, F.lit(0.0)).alias("raw"), F.coalesce(capped["score"], F.lit(0.0)).alias("score"), F.coalesce(capped["binding"], F.array().cast("array<string>")).alias("binding"), F.coalesce(F.when(ok, was_normalized(rubric, judgment)), F.lit(False)).alias("normalized"))
+    def scored(r, j, problem):
+        ok = problem.isNull()
+        empty = F.array().cast("array<string>")
+        capped = F.when(ok, let(_raw_score(r, j), lambda raw: F.struct(raw.alias("raw"), _apply_caps(r, j, raw).alias("caps"))))
+        return let(capped, lambda c: F.struct(
+            ok.cast("int").alias("valid"), problem.alias("problem"), F.coalesce(c["raw"], F.lit(0.0)).alias("raw"), F.coalesce(c["caps"]["score"], F.lit(0.0)).alias("score"),
+            F.coalesce(c["caps"]["binding"], empty).alias("binding"), F.coalesce(F.when(ok, _was_normalized(r, j)), F.lit(False)).alias("normalized"),
+        ))
+
+    return _both(rubric, judgment, lambda r, j: let(F.coalesce(_judgment_problem(r, j), _aggregation_problem(r)), lambda problem: scored(r, j, problem)))
 
 
 def criterion_json(judgment: Column) -> Column:
@@ -240,3 +316,58 @@ def place_and_reason(text: Column) -> Column:
 def state_key(stem: Column, query_id: Column, query: Column) -> Column:
     """The key that a rubric's state is kept under: its public id, else the query's id, else a hash of the query."""
     return F.coalesce(F.nullif(strip(stem), F.lit("")), F.concat(F.lit("query_id:"), query_id.cast("string")), F.concat(F.lit("query_sha256:"), F.sha2(query, 256)))
+
+
+def split_criteria(criteria: Column, saturated: Column) -> Column:
+    """A struct: the criteria (structs with an id) that ``saturated`` names, in its order, and the retained ones in their own; an unknown id is an error."""
+    def pick(k):
+        got = F.get(F.filter(criteria, lambda c: c["id"] == k), F.lit(0))
+        return F.when(got.isNull(), F.raise_error(F.concat(F.lit("no criterion "), k))).otherwise(got)
+
+    return F.struct(F.transform(saturated, pick).alias("saturated"), F.filter(criteria, lambda c: ~F.array_contains(saturated, c["id"])).alias("retained"))
+
+
+def _has_keys(value: Column, *names: str) -> Column:
+    got = F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
+    return F.coalesce(got == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
+
+
+def score_matrix_problem(criteria: Column, payload: Column, responses: Column) -> Column:
+    """Null for a matrix {"criteria": [{id, scores: [{rollout_id, score, reason}]}]} with the criteria (id, max) in
+    order, a score of each of R0, R1, ... in order, whole and within bounds, and reasons that aren't blank; else what
+    is wrong. Keys other than these are wrong."""
+    rows = at(payload, "$.criteria", "array<variant>")
+
+    def typed(v):
+        scores = at(v, "$.scores", "array<variant>")
+        cell = lambda x: F.struct(_has_keys(x, "rollout_id", "score", "reason").alias("shape"), at(x, "$.rollout_id", "string").alias("id"), F.when(is_integer(at(x, "$.score", "variant")), at(x, "$.score", "bigint")).alias("score"), F.coalesce(is_text(at(x, "$.reason", "variant")) & (F.length(strip(at(x, "$.reason", "string"))) > 0), F.lit(False)).alias("reasoned"))
+        return F.struct(_has_keys(v, "id", "scores").alias("shape"), F.when(is_text(at(v, "$.id", "variant")), at(v, "$.id", "string")).alias("id"), F.transform(scores, cell).alias("scores"))
+
+    def problem(t):
+        pairs = F.zip_with(criteria, t, lambda c, x: F.struct(c["id"].alias("want"), c["max"].alias("max"), x.alias("row")))
+        cells = lambda test: F.exists(pairs, lambda p: F.exists(p["row"]["scores"], lambda x: test(p, x)))
+        order = lambda p: F.transform(p["row"]["scores"], lambda x, i: F.coalesce(x["id"] != F.concat(F.lit("R"), i.cast("string")), F.lit(True)))
+        return (
+            F.when(t.isNull() | (F.size(t) != F.size(criteria)), "wrong number of criteria")
+            .when(F.exists(t, lambda x: ~x["shape"]), "wrong shape of a criterion")
+            .when(F.exists(pairs, lambda p: F.coalesce(p["row"]["id"] != p["want"], F.lit(True))), "wrong criterion")
+            .when(F.exists(t, lambda x: F.coalesce(F.size(x["scores"]) != responses, F.lit(True)) | x["scores"].isNull()), "wrong number of scores")
+            .when(cells(lambda p, x: ~x["shape"]), "wrong shape of a score")
+            .when(F.exists(pairs, lambda p: F.exists(order(p), lambda x: x)), "wrong response")
+            .when(cells(lambda p, x: F.coalesce((x["score"] < 0) | (x["score"] > p["max"]), F.lit(True))), "score out of bounds")
+            .when(cells(lambda p, x: ~x["reasoned"]), "blank reason")
+        )
+
+    return F.when(~_has_keys(payload, "criteria"), "wrong shape").otherwise(let(F.transform(rows, typed), problem))
+
+
+def finite(value: Column) -> Column:
+    """Whether a number is there and neither infinite nor NaN."""
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
+def canonical_score(payload: Column, version: str, field: str = "overall_score_100") -> Column:
+    """The score, from 0 to 100, of a checked payload of the given rubric version; null for another version, for what isn't a number and for one out of bounds."""
+    v = at(payload, f"$.{field}", "variant")
+    score = F.when(is_number(v), at(payload, f"$.{field}", "double"))
+    return F.when((at(payload, "$.rubric_version", "string") == version) & finite(score) & score.between(0, 100), score)
