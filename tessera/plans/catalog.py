@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("estimator_queries", "loss_queries", "row_queries", "judgment_queries", "state_queries")
+MODULES = ("estimator_queries", "loss_queries", "row_queries", "judgment_queries", "sequence_queries", "state_queries")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 

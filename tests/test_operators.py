@@ -274,3 +274,32 @@ def test_commit_and_resume(spark):
     assert evolution.history_problems(new).count() == 0
     with pytest.raises(PySparkException, match="too many"):
         evolution.complete_groups(spark.createDataFrame([("a",)] * 3, "uid string"), 2).collect()
+
+
+def test_sequences_at_their_edges(spark):
+    from tessera.functions import judgment as J
+    from tessera.operators import sequences as S
+
+    ints = lambda *x: F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<int>")
+    one = spark.range(1)
+    got = one.select(S.assemble(ints(1, 2), ints(3, 4, 5, 6), ints(1, 0, 1, 1), 3, 3).alias("x")).first().x
+    assert (got.input_ids, got.attention_mask, got.response_mask, got.position_ids) == ([0, 1, 2, 3, 4, 5], [0, 1, 1, 1, 1, 1], [1, 0, 1], [0, 0, 1, 2, 3, 4])
+    got = one.select(S.assemble(ints(), ints(), ints(), 2, 2).alias("x")).first().x
+    assert (got.input_ids, got.attention_mask, got.position_ids) == ([0] * 4, [0] * 4, [0] * 4)
+    got = one.select(S.preference_pair(ints(1), ints(2, 3), ints(), None, 2).alias("x")).first().x
+    assert (got.input_ids, got.attention_mask) == ([[1, 2], [1, 0]], [[1, 1], [1, 0]])
+    assert one.select(S.without_left_pad(ints(0, 0), ints(0, 0)).alias("x")).first().x == []
+    with pytest.raises(PySparkException):
+        one.select(S.response_values(ints(1, 2), F.lit(0), F.lit(1), 2)).collect()
+    a = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (3, 4.0)], "pos long, v double")
+    b = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None), (4, 4.0)], "pos long, v double")
+    assert [tuple(r) for r in S.differences(a, b).collect()] == [("v", 2)]
+    with pytest.raises(ValueError):
+        S.differences(a, b.withColumn("v", F.col("v").cast("float")))
+    assert S.with_index(a).select("index").distinct().collect()[0][0] == 0
+    assert spark.createDataFrame([], "pos long, n int").transform(lambda d: S.sequence_offsets(d, "n")).count() == 0
+    text = '{"criteria":[{"id":"a","scores":[]}]}'
+    criteria = F.array(F.struct(F.lit("a").alias("id"), F.lit(2).cast("long").alias("max")))
+    problem = lambda t, n: one.select(J.score_matrix_problem(criteria, F.try_parse_json(F.lit(t)), F.lit(n)).alias("x")).first().x
+    assert [problem(text, 0), problem(text, 1), problem("[]", 0), problem("none", 0), problem('{"criteria":[]}', 0)] == [None, "wrong number of scores", "wrong shape", "wrong shape", "wrong number of criteria"]
+    assert [one.select(J.finite(F.lit(v).cast("double")).alias("x")).first().x for v in (1, None, float("inf"), float("nan"))] == [True, False, False, False]
