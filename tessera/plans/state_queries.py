@@ -73,15 +73,15 @@ def until_first(spark, sf):
 
 
 def _fit_query(side: str, cut: str, sql: str):
-    query(f"l14_fit_{side}_{cut}", f"WITH s AS (SELECT user_id, list(CAST(event_id AS INTEGER) ORDER BY event_id) AS l FROM events WHERE event_id % 7 < user_id % 7 GROUP BY user_id) SELECT user_id, array_to_string({sql}, ',') AS tokens FROM s")(
-        lambda spark, sf: I.table(spark, sf, "events").filter("event_id % 7 < user_id % 7").groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("event_id").cast("int"))).alias("l")).select("user_id", F.array_join(A.fit("l", 32, -1, side, cut), ",").alias("tokens"))
+    query(f"l14_fit_{side}_{cut}", f"WITH s AS (SELECT user_id, list(CAST(event_id AS INTEGER) ORDER BY event_id) AS l FROM events GROUP BY user_id) SELECT user_id, array_to_string({sql}, ',') AS tokens FROM s")(
+        lambda spark, sf: I.table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("event_id").cast("int"))).alias("l")).select("user_id", F.array_join(A.fit("l", 64, -1, side, cut), ",").alias("tokens"))
     )
 
 
-_PAD = "list_resize([]::INTEGER[], greatest(32 - len(l), 0), -1)"
-_fit_query("right", "right", f"CASE WHEN len(l) > 32 THEN l[1:32] ELSE list_concat(l, {_PAD}) END")
-_fit_query("left", "left", f"CASE WHEN len(l) > 32 THEN l[len(l)-31:len(l)] ELSE list_concat({_PAD}, l) END")
-_fit_query("left", "middle", f"CASE WHEN len(l) > 32 THEN list_concat(l[1:16], l[len(l)-15:len(l)]) ELSE list_concat({_PAD}, l) END")
+_PAD = "list_resize([]::INTEGER[], greatest(64 - len(l), 0), -1)"
+_fit_query("right", "right", f"CASE WHEN len(l) > 64 THEN l[1:64] ELSE list_concat(l, {_PAD}) END")
+_fit_query("left", "left", f"CASE WHEN len(l) > 64 THEN l[len(l)-63:len(l)] ELSE list_concat({_PAD}, l) END")
+_fit_query("left", "middle", f"CASE WHEN len(l) > 64 THEN list_concat(l[1:32], l[len(l)-31:len(l)]) ELSE list_concat({_PAD}, l) END")
 
 
 @query("l15_chat_packing", "SELECT conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) = '' AS blank, CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT) AS learned, CAST(sum(length(text)) AS BIGINT) AS total FROM conversations GROUP BY conv_id")
@@ -129,9 +129,9 @@ def metric_log(spark, sf):
 OBS = "ob AS (SELECT o_custkey AS uid, month(o_orderdate) AS global_step, o_orderkey, o_totalprice FROM orders)"
 
 
-@query("t1_complete_groups", "WITH g AS (SELECT o_custkey AS uid, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT uid FROM g WHERE n = (SELECT max(n) FROM g)")
+@query("t1_complete_groups", "WITH g AS (SELECT o_custkey AS uid, count(*) AS n FROM orders GROUP BY 1) SELECT uid FROM g WHERE n = (SELECT max(n) FROM g)")
 def groups(spark, sf):
-    o = I.table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("uid"))
+    o = I.table(spark, sf, "orders").select(F.col("o_custkey").alias("uid"))
     n = o.groupBy("uid").count().agg(F.max("count")).first()[0]
     return T.complete_groups(o, n).select("uid").distinct()
 
