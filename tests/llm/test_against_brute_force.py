@@ -84,18 +84,14 @@ def test_induced_sorting_is_suffix_sorting():
             assert c == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
 
-def test_decontamination(spark, docs, empty, rows):
-    from tessera.llm.decontamination import benchmark_matches, decontaminate
-
-    source = [t for _, t in rows if t and len(t.split()) > 30]
-    items = [(1, " ".join(source[0].split()[4:20])), (2, source[1]), (10, "ONE"), (3, None), (4, ""), (5, "not there at all in any of these texts")]
-    bench = spark.createDataFrame([(i, t, 3) for i, t in [*items, items[1]]], "item_id long, text string, hits int")
+def benchmark_hits(rows, items):
+    """doc_id, words, places of hit words and items of each row, window by window."""
     windows = collections.defaultdict(set)
     for i, t in items:
         w = ALNUM.findall(lower(t))
         for p in range(max(len(w) - 8, 0) + 1 if w else 0):
             windows[tuple(w[p : p + 8])].add(str(i))
-    want = []
+    out = []
     for i, t in rows:
         w, hit, found = ALNUM.findall(lower(t)), set(), set()
         for n in {len(x) for x in windows}:
@@ -103,7 +99,17 @@ def test_decontamination(spark, docs, empty, rows):
                 if got := windows.get(tuple(w[p : p + n])):
                     hit |= set(range(p, p + n))
                     found |= got
-        want.append((i, len(w), sorted(hit), sorted(found)))
+        out.append((i, len(w), sorted(hit), sorted(found)))
+    return out
+
+
+def test_decontamination(spark, docs, empty, rows):
+    from tessera.llm.decontamination import benchmark_matches, decontaminate
+
+    source = [t for _, t in rows if t and len(t.split()) > 30]
+    items = [(1, " ".join(source[0].split()[4:20])), (2, source[1]), (10, "ONE"), (3, None), (4, ""), (5, "not there at all in any of these texts")]
+    bench = spark.createDataFrame([(i, t, 3) for i, t in [*items, items[1]]], "item_id long, text string, hits int")
+    want = benchmark_hits(rows, items)
     got = benchmark_matches(docs, bench).collect()
     same([(r.doc_id, r.n_words, list(r.hits), list(r["items"])) for r in got], want)
     clean = decontaminate(docs, bench)
@@ -124,12 +130,8 @@ def test_decontamination_in_blocks(docs, spark, monkeypatch):
     same([tuple(r) for r in D.benchmark_matches(docs, bench).collect()], whole)
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_near_duplicates(docs, empty, rows, block, monkeypatch):
-    from tessera.llm import similarity
-    from tessera.llm.near_dedup import drop_near_duplicates, near_duplicates
-
-    monkeypatch.setattr(similarity, "BLOCK", block)
+def near_components(rows):
+    """doc_id, shingles, component and verdict of each row, from all pairs of sets."""
     sets = []
     for _, t in rows:
         w = spaced(t, True)
@@ -143,7 +145,16 @@ def test_near_duplicates(docs, empty, rows, block, monkeypatch):
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[top(parent, k)] = min(least.get(top(parent, k), i), i)
-    want = [(i, len(s), None if i is None else least[top(parent, k)], i is None or i == least[top(parent, k)]) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+    return [(i, len(s), None if i is None else least[top(parent, k)], i is None or i == least[top(parent, k)]) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_duplicates(docs, empty, rows, block, monkeypatch):
+    from tessera.llm import similarity
+    from tessera.llm.near_dedup import drop_near_duplicates, near_duplicates
+
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    want = near_components(rows)
     same([tuple(r) for r in near_duplicates(docs).collect()], want)
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -165,9 +176,8 @@ def test_setsketch_registers_merge_and_estimate():
     assert abs(j - 1500 / 2500) < 0.05
 
 
-def test_line_dedup(docs, empty, rows):
-    from tessera.llm.line_dedup import drop_repeated_lines, line_dedup
-
+def lines_left(rows):
+    """Each row's id and what is left of its text, from all pairs of lines."""
     where = collections.OrderedDict()
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
@@ -178,13 +188,20 @@ def test_line_dedup(docs, empty, rows):
     parent = list(range(len(names)))
     for a in range(len(names)):
         for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 5 * small >= 4 * large and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 parent[top(parent, a)] = top(parent, b)
     keep = {}
     for k, x in enumerate(names):
         keep[top(parent, k)] = min(keep.get(top(parent, k), (math.inf, 0)), min(where[x]))
     gone = {(i, p) for k, x in enumerate(names) for i, p in where[x] if (i, p) != keep[top(parent, k)]}
-    want = [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows]
+    return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in rows]
+
+
+def test_line_dedup(docs, empty, rows):
+    from tessera.llm.line_dedup import drop_repeated_lines, line_dedup
+
+    want = lines_left(rows)
     out = line_dedup(docs)
     assert out.columns[: len(docs.columns)] == docs.columns
     same([(r.doc_id, r.text) for r in out.collect()], want)
