@@ -54,10 +54,14 @@ def unsmall(blob: bytes) -> np.ndarray:
     return unsqueeze(blob[1:], f"<u{blob[0]}").astype(np.int64)
 
 
+def bounds(n: int) -> np.ndarray:
+    """Where each of n equal ranges of 64-bit keys begins."""
+    return np.array([(i << 64) // n for i in range(n)], np.uint64)
+
+
 def buckets(sorted_keys: np.ndarray, n: int) -> np.ndarray:
     """Where each of n equal ranges of keys begins in a sorted array, and its end."""
-    bounds = np.array([(i << 64) // n for i in range(n)], np.uint64)
-    return np.append(np.searchsorted(sorted_keys, bounds), len(sorted_keys))
+    return np.append(np.searchsorted(sorted_keys, bounds(n)), len(sorted_keys))
 
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -34,6 +34,9 @@ ANCHOR = 24
 MANY = 64
 _NO_ID = np.iinfo(np.int64).max
 
+#: Bits that stand for an anchor. Anchors that share them are told apart by what stands on their sides.
+KEY = 38
+
 ANCHORS = "bucket int, piece int, keys binary, spans binary, sides binary, unclear binary, docs binary"
 STATES = "kind int, piece int, bucket int, a binary"
 SPANS = "bucket int, piece int, bytes binary, sizes binary, docs binary"
@@ -42,6 +45,7 @@ OUT = "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end
 #: Places are looked at in blocks whose arrays fit a processor's cache.
 _BLOCK = 1 << 15
 _LOW = np.uint64(63)
+_SHIFT = np.uint64(64 - KEY)
 
 
 def slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -109,10 +113,10 @@ class Spans:
         self.begin = begin = begin[which] + part * size
         self.count = np.minimum(ends[which] - begin, size)  # strings that start in a span
         self.doc = ids[np.searchsorted(offsets, begin, side="right") - 1] if len(begin) else np.zeros(0, np.int64)
-        key, last = anchor[begin], begin + self.count - 1
+        # an anchor is a minimum, so its hash is low; mixed again, it falls anywhere
+        key, last = mix(anchor[begin]) >> _SHIFT << _SHIFT, begin + self.count - 1
         name = mix(self.strings[begin] ^ mix(self.strings[last] + self.count.astype(np.uint64)))
-        self.sides, self.unclear = _sides(data, begin, last, low, high, name, size)
-        name = name >> np.uint64(32)
+        self.low, self.high = (low[begin], low[last]), (high[begin], high[last])
         order = _order(key, name, self.doc)
         k, s = key[order], name[order]
         head = np.ones(len(order), bool)
@@ -121,7 +125,12 @@ class Spans:
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(head) - 1
         self.key, self.name, self.least = key[self.first], name[self.first], self.doc[self.first]
-        self.at = packed.buckets(self.key, n)
+        self.at = packed.buckets(self.key, shards(n))
+
+    def sides(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the distinct spans; see _sides."""
+        begin, f = self.begin[self.first], self.first
+        return _sides(self.data, begin, begin + self.count[f] - 1, tuple(x[f] for x in self.low), tuple(x[f] for x in self.high), self.name, self.size)
 
     def states(self, answers: pa.Table) -> np.ndarray:
         out = np.zeros(len(self.first), np.uint8)
@@ -131,17 +140,18 @@ class Spans:
         return out
 
 
-def _sides(data: np.ndarray, begin: np.ndarray, last: np.ndarray, low: np.ndarray, high: np.ndarray, name: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _sides(data: np.ndarray, begin: np.ndarray, last: np.ndarray, low: tuple, high: tuple, name: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """What stands on both sides of each span's anchor, 16 bits of a hash each, and whether that can't be told.
 
     A string that two spans share reaches at least half of what it has besides
     the anchor to one side of it, so the spans agree there. A side that no
     string of the span fills so far has a value of the span's own. An anchor
-    that occurs again in its span says nothing.
+    that occurs again in its span says nothing. low, high: where the anchor is
+    in a span's first and in its last string.
     """
     half = (size - ANCHOR) // 2
-    place = begin + low[begin]
-    unclear = (place != last + high[last]) | (low[begin] != high[begin]) | (low[last] != high[last])
+    place = begin + low[0]
+    unclear = (place != last + high[1]) | (low[0] != high[0]) | (low[1] != high[1])
     eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
     def side(at: np.ndarray, own: np.ndarray, fits: np.ndarray) -> np.ndarray:
@@ -153,14 +163,21 @@ def _sides(data: np.ndarray, begin: np.ndarray, last: np.ndarray, low: np.ndarra
     return ((left << np.uint64(16)) | right).astype(np.uint32), unclear | (half < 8)
 
 
+def shards(n: int) -> int:
+    """Buckets of n pieces' anchors, and shards of their text: fewer than pieces, as each piece sends each a
+    message, and of its text only repeated anchors' spans are sorted."""
+    return -(-n // 4)
+
+
 def _send(size: int, n: int):
     def send(rows: pa.Table) -> pa.Table:
         x = Spans(rows, size, n)
         piece, out = rows["piece"][0].as_py(), []
-        name, side, unclear = x.name.astype(np.uint32), x.sides[x.first], x.unclear[x.first]
+        side, unclear = x.sides()
+        name, low = (x.name >> np.uint64(32)).astype(np.uint32), packed.bounds(shards(n))
         for b in np.flatnonzero(np.diff(x.at)):
             s = slice(x.at[b], x.at[b + 1])
-            out.append((int(b), piece, packed.narrow(np.diff(x.key[s], prepend=np.uint64(0)).view(np.int64)), name[s].tobytes(), side[s].tobytes(), np.packbits(unclear[s]).tobytes(), packed.narrow(x.least[s])))
+            out.append((int(b), piece, packed.narrow((np.diff(x.key[s] >> _SHIFT, prepend=low[b] >> _SHIFT)).view(np.int64)), name[s].tobytes(), side[s].tobytes(), np.packbits(unclear[s]).tobytes(), packed.narrow(x.least[s])))
         kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "piece", "keys", "spans", "sides", "unclear", "docs"])
 
@@ -172,11 +189,12 @@ ALONE, EARLIER, COMPARE, HOT = range(4)
 
 
 def _judge(rows: pa.Table) -> pa.Table:
-    keys = [np.cumsum(packed.unnarrow(x.as_py())).view(np.uint64) for x in rows["keys"]]
+    keys = [np.cumsum(packed.unnarrow(x.as_py())).view(np.uint64) for x in rows["keys"]]  # from the bucket's lower bound
     cuts = np.cumsum([len(k) for k in keys])[:-1]
     key, doc = np.concatenate(keys), np.concatenate([packed.unnarrow(x.as_py()) for x in rows["docs"]])
     name, side = (np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows[c]]) for c in ("spans", "sides"))
     unclear = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(k)).astype(bool) for x, k in zip(rows["unclear"], keys)])
+    name = (name.astype(np.uint64) << np.uint64(32)) | side  # equal spans have equal sides
     order = _order(key, name, doc)
     k, s, d = key[order], name[order], doc[order]
     new_key = np.append(True, k[1:] != k[:-1])
@@ -208,11 +226,6 @@ def _judge(rows: pa.Table) -> pa.Table:
     })
 
 
-def shards(n: int) -> int:
-    """Of n pieces' text only repeated anchors' spans are sorted, so several pieces' fit a shard."""
-    return -(-n // 4)
-
-
 def _texts(x: Spans, state: np.ndarray, n: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """What a piece sends to each shard, in order: begin, number of strings, and doc_id of each text."""
     whole = np.flatnonzero(state == COMPARE)

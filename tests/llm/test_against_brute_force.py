@@ -443,3 +443,17 @@ def test_suffix_dedup_of_passages_repeated_in_a_document(spark, many, monkeypatc
                 gone[p : p + 50] = b"\1" * 50
         want.append((i, len(re.findall(b"\1+", bytes(gone))), bytes(c for c, g in zip(t.encode(), gone) if not g)))
     same([(r.doc_id, len(r.spans), bytes(r.kept)) for r in S.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()], want)
+
+
+def test_suffix_dedup_sends_little_and_evenly():
+    """Disk: what a piece sends of its anchors is small, and no bucket gets much more than the others."""
+    import pyarrow as pa
+
+    from tessera.llm import suffix_dedup as S
+
+    draw = random.Random(21)
+    rows = pa.table({"doc_id": list(range(200)), "text": ["".join(draw.choices("abcdefgh ij klm", k=2000)) for _ in range(200)], "piece": pa.array([0] * 200, pa.int32())})
+    sent, spans = S._send(50, 64)(rows), len(S.Spans(rows, 50, 64).first)
+    sizes = [sum(len(sent[c][i].as_py()) for c in ("keys", "spans", "sides", "unclear", "docs")) for i in range(sent.num_rows)]
+    assert sum(sizes) < 16 * spans
+    assert max(sizes) < 1.5 * sum(sizes) / S.shards(64)
