@@ -279,5 +279,8 @@ def sorted_suffixes(strings: np.ndarray, sizes: np.ndarray, memory: int = MEMORY
         places[b:free], commons[b:free] = up[::-1], np.append(gap, up_common[:0:-1])[: len(up)]
         free = a
     queues.close()
-    which = np.searchsorted(shard.begins, places, side="right") - 1
+    which = room(n, np.int32, memory)
+    which[shard.begins] = 1
+    np.cumsum(which, out=which)
+    which = which[places] - 1
     return which, places - shard.begins[which], commons

@@ -9,8 +9,9 @@ document first has each span: later documents lose the whole span, and a span
 can't share a string with anything unless another one with its anchor agrees
 with it on one side of the anchor as well.
 
-The spans left, one copy of each, are the shards' text. A shard's suffixes are
-sorted by external induction (see ``induced``), whose queues go to disk beyond a
+The spans left, one copy of each, are the shards' text, of which a shard leaves
+out the ends and the texts without any string whose hash another document's text
+has there. The suffixes of the rest are sorted by external induction (see ``induced``), whose queues go to disk beyond a
 memory limit and carry common prefixes; neighbours that share ``size`` bytes are
 one string, and the smallest doc_id among them keeps it. An anchor with many
 spans would make one shard large, so its strings go by their own hash instead.
@@ -262,13 +263,48 @@ def _send_texts(size: int, n: int):
     return send
 
 
+def _shared(data: np.ndarray, count: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which texts have strings whose hash another document's texts have too, the first of these, and how many strings there are from it to the last."""
+    m = max(len(data) - size + 1, 0)
+    hashes = np.empty(m, np.uint64)
+    for a in range(0, m, _BLOCK):
+        b = min(m, a + _BLOCK)
+        hashes[a:b] = windows(data[a : b + size - 1].astype(np.uint64) + np.uint64(1), size)
+    start = np.cumsum(count) - count
+    text = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    hashes = hashes[np.arange(len(text)) + text.astype(np.int64) * (size - 1)]
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    same = hashes[1:] == hashes[:-1]
+    again = np.append(same, False) | np.append(False, same)
+    order, hashes = order[again], hashes[again]
+    if not len(order):
+        return order, order, order
+    doc = docs[text[order]]
+    heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
+    found = np.sort(order[np.repeat(several, np.diff(np.append(heads, len(order))))])
+    own = text[found]
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    first, last = found[new], found[np.append(new[1:], True)[: len(own)]]
+    which = own[new].astype(np.int64)
+    return which, first - start[which], last - first + 1
+
+
 def _sort(size: int):
     def sort(rows: pa.Table) -> pa.Table:
         raw = [packed.unsqueeze(x.as_py(), np.uint8) for x in rows["bytes"]]
         counts = [packed.unsmall(x.as_py()) for x in rows["sizes"]]
         docs = np.concatenate([packed.unnarrow(x.as_py()) for x in rows["docs"]])
-        count = np.concatenate(counts)
-        text, place, common = sorted_suffixes(np.concatenate(raw), count + size - 1)
+        sent, data = np.concatenate(counts), np.concatenate(raw)
+        # what a text shares with no other need not be sorted
+        which, first, count = _shared(data, sent, docs, size)
+        if not len(which):
+            return pa.table({c: pa.array([], pa.binary() if c == "a" else pa.int32()) for c in ("kind", "piece", "bucket", "a")})
+        docs, long = docs[which], count + size - 1
+        begin = (np.cumsum(sent + size - 1) - (sent + size - 1))[which] + first
+        data = data[np.arange(int(long.sum())) + np.repeat(begin - np.cumsum(long) + long, long)]
+        text, place, common = sorted_suffixes(data, long)
         real = place < count[text]  # suffixes that hold a whole string
         # a suffix that is left out passes its common prefix on to the next
         heads = np.flatnonzero(common < size)
@@ -277,8 +313,8 @@ def _sort(size: int):
         least = np.full(len(heads), _NO_ID)
         np.minimum.at(least, group, docs[text])
         gone = least[group] < docs[text]
-        start = np.cumsum(count) - count
-        bits = np.zeros(int(count.sum()), bool)
+        start = (np.cumsum(sent) - sent)[which] + first
+        bits = np.zeros(int(sent.sum()), bool)
         bits[start[text[gone]] + place[gone]] = True
         parts = np.split(bits, np.cumsum([int(c.sum()) for c in counts])[:-1])
         some = [i for i, p in enumerate(parts) if p.any()]

@@ -457,3 +457,25 @@ def test_suffix_dedup_sends_little_and_evenly():
     sizes = [sum(len(sent[c][i].as_py()) for c in ("keys", "spans", "sides", "unclear", "docs")) for i in range(sent.num_rows)]
     assert sum(sizes) < 16 * spans
     assert max(sizes) < 1.5 * sum(sizes) / S.shards(64)
+
+
+def test_suffix_dedup_sorts_only_what_texts_share(monkeypatch):
+    """CPU time: ends that no other document's text has, and texts without anything shared, aren't sorted."""
+    import pyarrow as pa
+
+    from tessera.llm import packed
+    from tessera.llm import suffix_dedup as S
+
+    draw, sorted_bytes, real = random.Random(22), [], S.sorted_suffixes
+    monkeypatch.setattr(S, "sorted_suffixes", lambda strings, sizes, *a: sorted_bytes.append(len(strings)) or real(strings, sizes, *a))
+    text = lambda n: bytes(draw.choices(range(97, 123), k=n))
+    common = text(60)
+    texts = [text(10) + common + text(29), text(99), text(20) + common + text(19)]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    rows = pa.table({"bucket": pa.array([0], pa.int32()), "piece": pa.array([3], pa.int32()), "bytes": [packed.squeeze(raw)], "sizes": [packed.small(np.array([50, 50, 50]))], "docs": [packed.narrow(np.array([7, 5, 2]))]})
+    out = S._sort(50)(rows)
+    gone = np.unpackbits(np.frombuffer(out["a"][0].as_py(), np.uint8), count=150)
+    assert np.flatnonzero(gone).tolist() == list(range(10, 21))  # of the text of document 7
+    assert sorted_bytes == [120]
+    alone = rows.set_column(4, "docs", pa.array([packed.narrow(np.array([7, 7, 7]))]))
+    assert S._sort(50)(alone).num_rows == 0
