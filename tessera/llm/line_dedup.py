@@ -121,7 +121,7 @@ def _keys(n: int):
 
 
 def _meet(rows: pa.Table) -> pa.Table:
-    """Band keys that different nodes have, with these nodes."""
+    """Band keys that different nodes have, with these nodes. A band's first row has their number and, in x and y, what stands for just these nodes."""
     key = np.concatenate([packed.unpack(x.as_py()) for x in rows["keys"]])
     node = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in rows["nodes"]])
     order = np.argsort(key)
@@ -138,7 +138,19 @@ def _meet(rows: pa.Table) -> pa.Table:
     heads = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     size = np.diff(np.append(heads, len(key)))
     many = np.repeat(size > 1, size)
-    return pa.table({"band": pa.array(key[many].view(np.int64)), "node": pa.array(node[many])})
+    key, node, size = key[many], node[many], size[size > 1]
+    heads = np.cumsum(size) - size
+    rest = np.ones(len(key), bool)
+    rest[heads] = False
+
+    def on_first(x: np.ndarray) -> pa.Array:
+        out = np.zeros(len(key), np.int64)
+        out[heads] = x.view(np.int64)
+        return pa.array(out, mask=rest)
+
+    h = mix(node.view(np.uint64))
+    x, y = (np.bitwise_xor.reduceat(h, heads), np.add.reduceat(mix(h + np.uint64(1)), heads)) if len(heads) else (h, h)
+    return pa.table({"band": pa.array(key.view(np.int64)), "node": pa.array(node), "size": on_first(size), "x": on_first(x), "y": on_first(y)})
 
 
 def _set_rows(rows: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -253,7 +265,7 @@ def line_dedup(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     lost = [free("lines_seen"), free("lines_removed"), free("lines_left")]
     ids = session.in_pieces(docs.filter("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id", "text", n=n)
     keys = ids.mapInArrow(light(_keys(n)), "bucket int, keys binary, nodes binary")
-    bands = session.cut(keys.groupBy("bucket").applyInArrow(light(_meet), "band long, node long"))
+    bands = session.cut(keys.groupBy("bucket").applyInArrow(light(_meet), "band long, node long, size long, x long, y long"))
     entries = ids.mapInArrow(light(_entries(n)), "bucket int, nodes binary, docs binary, pieces binary, times binary, places binary")
     wanted = bands.select("node").distinct().withColumn("bucket", F.pmod("node", F.lit(n)).cast("int"))
     places = session.cut(entries.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(light(_places), "node long, piece int, times long, doc long, line long"))

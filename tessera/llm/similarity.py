@@ -64,63 +64,146 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, decode=hashed_
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_items", "b_items").mapInArrow(light(_verified(num, den, decode)), "a long, b long")
 
 
+def _whole(batches):
+    """Rows in order of band, i and j, in tables that don't cut a group of these, and where each group begins."""
+
+    def begins(rows: pa.Table) -> np.ndarray:
+        new = np.append(True, np.zeros(rows.num_rows - 1, bool))
+        for c in ("band", "i", "j"):
+            x = rows[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        if rows.num_rows:
+            at = begins(rows)
+            if len(at) > 1:
+                yield rows.slice(0, at[-1]), at
+            held = rows.slice(at[-1])
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+#: Bits of a set's map, and sets that are mapped at once.
+_BITS, _MAPPED = 1024, 2048
+
+
+def _maps(items: list[np.ndarray]) -> np.ndarray:
+    """A map of bits for each set, one for each of its elements; elements may share bits."""
+    out = []
+    for a in range(0, len(items), _MAPPED):
+        part = items[a : a + _MAPPED]
+        bits = np.zeros((len(part), _BITS), bool)
+        owner = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        bits[owner, (np.concatenate(part) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)] = True
+        out.append(np.packbits(bits, axis=1).view(np.uint64))
+    return np.concatenate(out)
+
+
+def _products(items: list[np.ndarray], size: np.ndarray, l: np.ndarray, r: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the sets l are similar to which of the sets r."""
+    flat, member = np.concatenate(items), np.repeat(np.arange(len(items)), size)
+    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[at]
+    column, member = number[at[keep]], member[keep]
+    order = np.argsort(column, kind="stable")
+    column, member = column[order], member[order]
+    left, right = np.zeros(len(items), bool), np.zeros(len(items), bool)
+    left[l], right[r] = True, True
+    place_l, place_r = np.full(len(items), -1), np.full(len(items), -1)
+    place_l[l], place_r[r] = np.arange(len(l)), np.arange(len(r))
+    common, total, wide = np.zeros((len(l), len(r))), int(shared.sum()), 2048
+    for c in range(0, total, wide):  # a slice of the shared elements at a time
+        lo, hi = np.searchsorted(column, [c, c + wide])
+        m, k = member[lo:hi], column[lo:hi] - c
+        x, y = np.zeros((len(l), wide), np.float32), np.zeros((len(r), wide), np.float32)
+        x[place_l[m[left[m]]], k[left[m]]] = 1
+        y[place_r[m[right[m]]], k[right[m]]] = 1
+        common += x @ y.T
+    return _similar(np.rint(common), size[l][:, None], size[r][None, :], num, den)
+
+
 def _forest(num: int, den: int, sets):
-    """Links between components among the members of two blocks."""
+    """Links between components among the members of two blocks.
+
+    What a set's map has besides another's is a bound of what they share, so
+    most pairs need no look at the sets.
+    """
 
-    def forest(rows: pa.Table) -> pa.Table:
+    def links(rows: pa.Table, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node, own = rows["node"].to_numpy(), rows["root"].to_numpy()
         left, right = rows["block"].to_numpy() == rows["i"].to_numpy(), rows["block"].to_numpy() == rows["j"].to_numpy()
-        out: list[tuple[int, int]] = []
-        if len(np.unique(own)) > 1:
-            items = sets(rows["items"])
-            size = np.array([len(x) for x in items])
-            if len(items) <= 8:  # too few for products to pay
-                i, j = np.triu_indices(len(items), 1)
-                meet = (left[i] & right[j]) | (right[i] & left[j])
-                meet &= (own[i] != own[j]) & _similar(np.minimum(size[i], size[j]), size[i], size[j], num, den)
-                found = [(p, q) for p, q in zip(i[meet].tolist(), j[meet].tolist()) if _similar(_common(items[p], items[q]), size[p], size[q], num, den)]
-                return pa.table({"a": pa.array([node[p] for p, _ in found], pa.int64()), "b": pa.array([node[q] for _, q in found], pa.int64())})
-            flat, member = np.concatenate(items), np.repeat(np.arange(len(items)), size)
-            values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-            shared = times > 1
-            number = np.cumsum(shared) - 1
-            keep = shared[at]
-            column, member = number[at[keep]], member[keep]
-            order = np.argsort(column, kind="stable")
-            column, member = column[order], member[order]
-            l, r = np.flatnonzero(left), np.flatnonzero(right)
-            place_l, place_r = np.full(len(items), -1), np.full(len(items), -1)
-            place_l[l], place_r[r] = np.arange(len(l)), np.arange(len(r))
-            common, total, wide = np.zeros((len(l), len(r))), int(shared.sum()), 2048
-            for c in range(0, total, wide):  # a slice of the shared elements at a time
-                lo, hi = np.searchsorted(column, [c, c + wide])
-                m, k = member[lo:hi], column[lo:hi] - c
-                x, y = np.zeros((len(l), wide), np.float32), np.zeros((len(r), wide), np.float32)
-                x[place_l[m[left[m]]], k[left[m]]] = 1
-                y[place_r[m[right[m]]], k[right[m]]] = 1
-                common += x @ y.T
-            close = _similar(np.rint(common), size[l][:, None], size[r][None, :], num, den)
-            close &= own[l][:, None] != own[r][None, :]
-            parent = {}
-
-            def top(v):
-                while parent.get(v, v) != v:
-                    parent[v] = parent.get(parent[v], parent[v])
-                    v = parent[v]
-                return v
-
-            for p, q in zip(*np.nonzero(close)):
-                x, y = top(own[l[p]]), top(own[r[q]])
+        # a node's set is made once, in however many groups it is
+        _, first, which = np.unique(node, return_index=True, return_inverse=True)
+        items = sets(rows["items"].take(pa.array(first)))
+        size = np.array([len(x) for x in items], np.int64)
+        maps = _maps(items)
+        filled = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+
+        def may(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            meet = (left[p] & right[q]) | (right[p] & left[q])
+            meet &= own[p] != own[q]
+            p, q = p[meet], q[meet]
+            x, y = which[p], which[q]
+            meet = _similar(np.minimum(size[x], size[y]), size[x], size[y], num, den)
+            p, q, x, y = p[meet], q[meet], x[meet], y[meet]
+            both = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(size[x] - filled[x], size[y] - filled[y]) + both
+            meet = _similar(most, size[x], size[y], num, den)
+            return p[meet], q[meet]
+
+        roots, parent, out = own.tolist(), {}, []
+
+        def top(v):
+            while parent.get(v, v) != v:
+                parent[v] = parent.get(parent[v], parent[v])
+                v = parent[v]
+            return v
+
+        def look(p: np.ndarray, q: np.ndarray, sure: bool) -> None:
+            for a, b in zip(p.tolist(), q.tolist()):
+                x, y = top(roots[a]), top(roots[b])
                 if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    out.append((node[l[p]], node[r[q]]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+                    a, b = which[a], which[b]
+                    if sure or _similar(_common(items[a], items[b]), size[a], size[b], num, den):
+                        parent[max(x, y)] = min(x, y)
+                        out.append((a, b))
+
+        begin, many = at[:-1], np.diff(at)
+        for g in np.unique(many[many > 1]).tolist():
+            i, j = np.triu_indices(g, 1)
+            of = begin[many == g]
+            for a in range(0, len(of), step := max(1, (1 << 15) // len(i))):
+                k = of[a : a + step, None]
+                p, q = may((k + i).ravel(), (k + j).ravel())
+                if step > 1 or len(p) <= 4 * g:
+                    look(p, q, False)
+                else:  # products pay
+                    own_rows = np.arange(k[0, 0], k[0, 0] + g)
+                    l, r = np.flatnonzero(left[own_rows]), np.flatnonzero(right[own_rows])
+                    close = _products([items[x] for x in which[own_rows]], size[which[own_rows]], l, r, num, den)
+                    p, q = np.nonzero(close)
+                    look(own_rows[l[p]], own_rows[r[q]], True)
+        names = node[first]
+        return names[[a for a, _ in out]], names[[b for _, b in out]]
+
+    def forest(batches):
+        for rows, at in _whole(batches):
+            a, b = links(rows, np.append(at[at < rows.num_rows], rows.num_rows))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return forest
 
 
 def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, screen: Callable[[DataFrame], DataFrame] | None = None, decode=hashed_sets) -> tuple[DataFrame, DataFrame]:
-    """bands: band and node, both long, each pair once. sets_of: from distinct
+    """bands: band and node, both long, each pair once; where it has columns size,
+    x and y, one row of each band holds the number of its nodes and 128 bits that
+    other nodes wouldn't have, and all bands have several nodes. sets_of: from distinct
     nodes to their sets (node, items: binary, which ``decode`` makes sorted
     distinct 64-bit hashes of). screen: may drop pairs (a, b) before they are
     verified.
@@ -128,8 +211,11 @@ def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFram
     Returns the components (node, root) of all nodes linked with others, and
     the links found (a, b), which join each component.
     """
-    size = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    met = cut(bands.join(size, "band"))
+    if "x" in bands.columns:  # of buckets with the same members one is enough
+        size = bands.filter("x IS NOT NULL").groupBy("x", "y", "size").agg(F.min("band").alias("band")).select("band", "size")
+    else:
+        size = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    met = cut(bands.select("band", "node").join(size, "band"))
     weight = met.groupBy("node").agg(F.sum("size").alias("weight"))
     # buckets with the same members are one
     ranked = met.join(weight, "node")
@@ -154,7 +240,8 @@ def similar_components(bands: DataFrame, sets_of: Callable[[DataFrame], DataFram
     meets = F.col("odd") + F.when(F.col("is_odd"), F.col("even")).otherwise(0) - 1
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), meets)))
     dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root").join(sets, "node")
-    rest = cut(dealt.groupBy("band", "i", "j").applyInArrow(light(_forest(num, den, decode)), "a long, b long"))
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    rest = cut(dealt.mapInArrow(light(_forest(num, den, decode)), "a long, b long"))
     if rest.isEmpty():
         return roots, links
     stars = roots.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))

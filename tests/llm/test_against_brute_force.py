@@ -479,3 +479,46 @@ def test_suffix_dedup_sorts_only_what_texts_share(monkeypatch):
     assert sorted_bytes == [120]
     alone = rows.set_column(4, "docs", pa.array([packed.narrow(np.array([7, 7, 7]))]))
     assert S._sort(50)(alone).num_rows == 0
+
+
+def test_buckets_are_compared_without_looking_at_most_sets(monkeypatch):
+    """CPU time: all pairs of all buckets of a batch are settled, and sets that can't be similar aren't intersected."""
+    import pyarrow as pa
+
+    from tessera.llm import similarity as M
+
+    draw, looked, common = np.random.default_rng(23), [], M._common
+    monkeypatch.setattr(M, "_common", lambda x, y: looked.append(1) or common(x, y))
+    rows, items, want, pairs = [], {}, set(), 0
+    for band in range(60):
+        base = draw.integers(0, 1 << 63, 300, np.uint64)
+        members = list(range(10 * band, 10 * band + int(draw.integers(2, 10))))
+        for k, node in enumerate(members):  # half of it shared, but every fourth is nearly the one before
+            last = items.get(node - 1, base)
+            items[node] = np.unique(np.concatenate([last[:290], draw.integers(0, 1 << 63, 10, np.uint64)] if k % 4 == 3 else [base[:200], draw.integers(0, 1 << 63, 100, np.uint64)]))
+            rows.append((node, band, 0, 0, 0, node, items[node].tobytes()))
+        for a in members:
+            for b in range(members[0], a):
+                pairs += 1
+                both = len(np.intersect1d(items[a], items[b]))
+                if 5 * both >= 4 * (len(items[a]) + len(items[b]) - both):
+                    want.add((b, a))
+    columns = ["node", "band", "i", "j", "block", "root", "items"]
+    table = pa.table({c: pa.array([r[k] for r in rows], pa.int64() if k < 2 or k == 5 else pa.binary() if k == 6 else pa.int32()) for k, c in enumerate(columns)})
+    for size in (1000, 7):  # buckets are cut by batches' ends
+        looked.clear()
+        got = [x for out in M._forest(4, 5, M.hashed_sets)(iter(table.to_batches(max_chunksize=size))) for x in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+        assert want and {tuple(sorted(x)) for x in got} == want
+        assert len(looked) < 1.5 * len(want) < pairs / 5
+
+
+def test_buckets_of_the_same_lines_have_one_seal():
+    import pyarrow as pa
+
+    from tessera.llm import line_dedup, packed
+
+    keys, nodes = np.array([5, 5, 9, 9, 11, 11, 11, 20], np.uint64), np.array([70, -3, -3, 70, 70, 1, -3, 8])
+    out = line_dedup._meet(pa.table({"bucket": pa.array([0], pa.int32()), "keys": [packed.pack(keys)], "nodes": [nodes.tobytes()]})).to_pylist()
+    assert [(r["band"], r["node"], r["size"]) for r in out] == [(5, -3, 2), (5, 70, None), (9, -3, 2), (9, 70, None), (11, -3, 3), (11, 1, None), (11, 70, None)]
+    seals = [(r["x"], r["y"]) for r in out if r["x"] is not None]
+    assert seals[0] == seals[1] != seals[2]
