@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as A
 
@@ -104,18 +106,129 @@ def validation_metrics(df: DataFrame, source="source", uid="uid", value="value",
     groups = df.groupBy(source, uid).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     n = F.col("n").cast("string")
     out = groups.select(source, F.explode(F.array(F.struct(F.concat(F.lit("mean@"), n).alias("metric"), F.col("mean").alias("value")), F.struct(F.concat(F.lit("std@"), n).alias("metric"), F.when(F.col("n") > 1, F.col("std")).alias("value")))).alias("_m")).select(source, "_m.*").filter("value IS NOT NULL")
-    sizes = [r[0] for r in groups.select("n").distinct().collect()]  # sizes of groups, few whatever the table
     kinds = ("best", "worst", *(["maj"] if vote else []))
-    # one table of drawn places for all sizes, so that groups are gathered once; a fixed count of partitions, as drawing is long and its input small
-    drawn = [(n, k, bootstrap_index(n, k, draws, seed)) for n in sorted(sizes) for k in subset_sizes(n)]
-    index = F.broadcast(df.sparkSession.createDataFrame(drawn, "_n int, _s int, _index array<array<int>>", verifySchema=False))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(parts, source, uid).groupBy(source, uid).agg(_gathered(pos, value, vote)).withColumn("_n", F.size("_x")).join(index, "_n")
-    rows = rows.select(source, "_s", *[F.transform("_index", _taker(kind)).alias(kind) for kind in kinds]).select("*", *[_mean(kind, draws).alias(f"{kind}_mean") for kind in kinds])
-    name = lambda kind, part: F.concat(F.lit(f"{kind}@"), F.col("_s").cast("string"), F.lit(f"/{part}")).alias("metric")
-    found = [F.struct(name(kind, part), x.alias("value")) for kind in kinds for part, x in (("mean", F.col(f"{kind}_mean")), ("std", _std(kind, F.col(f"{kind}_mean"), draws)))]
-    out = out.unionByName(rows.select(source, F.explode(F.array(*found)).alias("_m")).select(source, "_m.*"))
-    return out.groupBy(source, "metric").agg(F.avg("value").alias("value"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed count, as drawing is long and its input small
+    rows = df.repartition(parts, source, uid).groupBy(source, uid).agg(_gathered(pos, value, vote)).select(F.col(source).alias("source"), F.col("_x")["_v"].alias("x"), F.col("_x")["_k"].alias("votes"))
+    kept = T.StructType([T.StructField("source", df.schema[source].dataType), T.StructField("metric", T.StringType()), T.StructField("total", T.DoubleType()), T.StructField("groups", T.LongType())])
+    sums = rows.mapInArrow(_draw_all(kinds, draws, seed), kept).groupBy(F.col("source").alias(source), "metric").agg((F.sum("total") / F.sum("groups")).alias("value"))
+    return out.groupBy(source, "metric").agg(F.avg("value").alias("value")).unionByName(sums)
+
+
+#: Drawn places that a worker holds at a time; work on them goes in smaller blocks, which a processor's cache holds.
+PLACES = 1 << 21
+
+
+def _drawn(n: int, k: int, draws: int, seed: int):
+    """``bootstrap_index`` in arrays of some draws each; a draw is a column."""
+    random = np.random.RandomState(seed)
+    step = max(1, PLACES // n)
+    for at in range(0, draws, step):
+        yield random.choice(n, size=(min(step, draws - at), k), replace=True).T
+
+
+def _times_extreme(ranks: np.ndarray, missing: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many draws have each rank of a group (a column) as their largest, and as their smallest; the first row counts draws of missing values alone."""
+    n, groups = ranks.shape
+    draws = places.shape[1]
+    found = np.empty((2, n + 1, groups), np.int64)
+    width = max(1, PLACES // 8 // draws)
+    for at in range(0, groups, width):
+        r, gone = ranks[:, at : at + width], missing[:, at : at + width]
+        for i, (own, pick) in enumerate(((np.where(gone, 0, r + 1), np.maximum), (np.where(gone, n + 1, r + 1), np.minimum))):
+            best = own[places[0]]
+            for p in places[1:]:
+                pick(best, own[p], out=best)
+            g = r.shape[1]
+            slots = np.bincount((best % (n + 1) * g + np.arange(g)).ravel(), minlength=(n + 1) * g)
+            found[i, :, at : at + g] = slots.reshape(n + 1, g)
+    return found[0], found[1]
+
+
+def _times_voted(labels: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many draws each place of a pattern of votes (a row of labels) decides: the first with the most frequent vote; labels of -1 are no votes."""
+    patterns, n = labels.shape
+    k, draws = places.shape
+    top = int(labels.max()) + 2
+    found = np.zeros((patterns, n), np.int64)
+    width = max(1, PLACES // 16 // (draws * max(k, top)))
+    for at in range(0, patterns, width):
+        own = np.where(labels[at : at + width] < 0, top - 1, labels[at : at + width])
+        m = len(own) * draws
+        slots = own.T[places].transpose(0, 2, 1).reshape(k, m) * m + np.arange(m)
+        times = np.bincount(slots.ravel(), minlength=top * m).reshape(top, m)
+        times[-1] = 0
+        first = -(times.ravel()[slots] * (k + 1) - np.arange(k)[:, None]).max(0) % (k + 1)
+        place = np.tile(places, len(own))[first, np.arange(m)]
+        found[at : at + width] = np.bincount(np.repeat(np.arange(len(own)), draws) * n + place, minlength=len(own) * n).reshape(-1, n)
+    return found
+
+
+def _patterns(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of labels, numbered as votes come up in a group, and which of them each group has; -1 stays."""
+    n = votes.shape[1]
+    order = np.argsort(votes, 1, kind="stable")
+    ranked = np.take_along_axis(votes, order, 1)
+    start = np.where(np.diff(ranked, axis=1, prepend=ranked[:, :1] - 1) != 0, np.arange(n), 0)
+    first = np.empty_like(order)
+    np.put_along_axis(first, order, np.take_along_axis(order, np.maximum.accumulate(start, 1), 1), 1)
+    number = np.cumsum((first == np.arange(n)) & (votes >= 0), 1) - 1
+    labels = np.where(votes < 0, -1, np.take_along_axis(number, first, 1))
+    labels, which = np.unique(labels, axis=0, return_inverse=True)
+    return labels, which.ravel()
+
+
+def _moments(x: np.ndarray, missing: np.ndarray, times: np.ndarray, draws: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows draw no missing value, their mean and population deviation over draws; values drawn no times don't count, even if they aren't finite."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        mean = np.where(times > 0, x * times, 0.0).sum(1) / draws
+        off = np.where(times > 0, x - mean[:, None], 0.0)
+        return ~(missing & (times > 0)).any(1), mean, np.sqrt((off * off * times).sum(1) / draws)
+
+
+def _draw_all(kinds: tuple[str, ...], draws: int, seed: int):
+    """From batches of groups (source, x, votes) to sums (source, metric, total, groups) over them.
+
+    Groups of one size share the drawn places, which are made here. A group
+    takes part with how often each of its places decides a draw.
+    """
+
+    def sums(batches):
+        for b in batches:
+            sizes = b.column("x").value_lengths().to_numpy(zero_copy_only=False)
+            own = b.column("source").dictionary_encode("encode")
+            out = []
+            for n in np.unique(sizes[sizes > 1]).tolist():
+                rows = pa.array(np.flatnonzero(sizes == n))
+                flat = b.column("x").take(rows).flatten()
+                missing, x = (a.to_numpy(zero_copy_only=False).reshape(-1, n) for a in (flat.is_null(), flat.fill_null(0.0)))
+                order = np.argsort(x, 1)
+                ranks = np.ascontiguousarray(np.argsort(order, 1).T.astype(np.int32))
+                if "maj" in kinds:
+                    labels, which = _patterns(b.column("votes").take(rows).flatten().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).reshape(-1, n))
+                ranked = np.take_along_axis(x, order, 1)
+                source = own.indices.take(rows).to_numpy(zero_copy_only=False)
+                for k in subset_sizes(n):
+                    best = worst = voted = 0
+                    for places in _drawn(n, k, draws, seed):
+                        high, low = _times_extreme(ranks, missing.T, places)
+                        best, worst = best + high, worst + low
+                        if "maj" in kinds:
+                            voted = voted + _times_voted(labels, places)
+                    none = np.zeros((len(x), 1), bool)
+                    spans = np.hstack([~none, np.zeros_like(missing)])
+                    found = {"best": _moments(np.hstack([none, ranked]), spans, best.T, draws), "worst": _moments(np.hstack([none, ranked]), spans, worst.T, draws)}
+                    if "maj" in kinds:
+                        found["maj"] = _moments(x, missing, voted[which], draws)
+                    for kind in kinds:
+                        ok, *values = found[kind]
+                        groups = np.bincount(source[ok], minlength=len(own.dictionary))
+                        for part, v in zip(("mean", "std"), values):
+                            total = np.bincount(source[ok], v[ok], len(own.dictionary))
+                            out += [(s, f"{kind}@{k}/{part}", total[s], groups[s]) for s in np.flatnonzero(groups)]
+            s, metric, total, groups = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([own.dictionary.take(pa.array(s, pa.int64())), pa.array(metric, pa.string()), pa.array(total, pa.float64()), pa.array(groups, pa.int64())], ["source", "metric", "total", "groups"])
+
+    return sums
 
 
 def metric_section(metric: Column, is_core: Column, largest: Column) -> Column:

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, and the files they read and write."""
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -157,6 +158,24 @@ def test_bootstrap_repeats_numpy_draws(spark):
     assert {r.metric for r in evaluation.gain(evaluation.validation_metrics(df, draws=20)).collect()} == {"gain@2", "gain@4"}
 
 
+def test_validation_draws_in_tasks(spark, monkeypatch):
+    """The driver draws nothing for groups, however many sizes there are; missing values and votes, NaN and infinity as in the rules before."""
+    monkeypatch.setattr(evaluation, "bootstrap_index", None)
+    x = {"a": [(0.5, "x"), (None, "y"), (2.0, None), (-1.0, "x"), (float("inf"), "z")], "b": [(None, None), (3.0, "p"), (1.0, "p"), (float("nan"), "q")], "c": [(k * 37 % 101 / 8, str(k % 50)) for k in range(300)], "d": [(1.0, "x"), (4.0, "x"), (2.0, "y")]}
+    df = spark.createDataFrame([(s, 0, k, *r) for s, rows in x.items() for k, r in enumerate(rows)], "source string, uid int, pos int, value double, vote string")
+    got = {(r.source, r.metric): r.value for r in evaluation.validation_metrics(df, vote="vote", draws=64).collect()}
+    up, want = lambda v: (math.isnan(v), v), {}
+    for s, rows in x.items():
+        for k in evaluation.subset_sizes(len(rows)):
+            draws = [[rows[i] for i in d] for d in np.random.RandomState(42).choice(len(rows), size=(64, k))]
+            times = lambda d, v: 0 if v is None else sum(q == v for _, q in d)
+            taken = {"best": [max((v for v, _ in d if v is not None), key=up, default=None) for d in draws], "worst": [min((v for v, _ in d if v is not None), key=up, default=None) for d in draws], "maj": [max(d, key=lambda r, d=d: times(d, r[1]))[0] for d in draws]}
+            for kind, values in taken.items():
+                if None not in values:
+                    want[s, f"{kind}@{k}/mean"], want[s, f"{kind}@{k}/std"] = np.mean(values), np.std(values)
+    assert {k: v for k, v in got.items() if "/" in k[1]} == pytest.approx(want, nan_ok=True) and {k[1] for k in want if k[0] == "c"} >= {"maj@256/mean", "maj@300/std"}
+
+
 def test_column_union_rejects_differences(spark):
     a = spark.createDataFrame([(0, 1.0), (1, float("nan")), (2, None)], "pos long, x double")
     assert rows.column_union(a, a.withColumn("y", F.lit(1))).count() == 3
