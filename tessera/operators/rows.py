@@ -99,11 +99,11 @@ def slice_rows(df: DataFrame, start: int | None = None, stop: int | None = None,
     return df.filter(keep & (F.col(pos) < stop) if stop is not None else keep)
 
 
-def chunk_number(n: int, k: int, pos: str = "pos") -> Column:
-    """Number of a row's chunk, of k equal ones out of n rows."""
-    if n % k:
+def chunk_number(n: int, k: int, pos: str = "pos", rest: bool = False) -> Column:
+    """Number of a row's chunk, of k equal ones out of n rows. rest: rows beyond them get numbers from k on, by chunks of the same size; null if the size is 0."""
+    if n % k and not rest:
         raise ValueError(f"{n} rows don't make {k} equal chunks")
-    return F.floor(F.col(pos) / (n // k)).cast("int")
+    return F.floor(F.col(pos) / (F.lit(n // k) if n >= k else F.lit(None))).cast("int")
 
 
 def split_number(size: int, pos: str = "pos") -> Column:

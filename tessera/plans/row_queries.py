@@ -35,7 +35,7 @@ query("f2_first_rows", f"WITH {DOCS} SELECT pos FROM d WHERE pos < 100")(lambda
 @query("r6_chunk", f"WITH {DOCS} SELECT pos, CAST(pos // ((SELECT count(*) FROM d) // 4) AS INTEGER) AS chunk FROM d")
 def chunk(spark, sf):
     d = docs(spark, sf)
-    return d.select("pos", R.chunk_number(d.count(), 4).alias("chunk"))
+    return d.select("pos", R.chunk_number(d.count(), 4, rest=True).alias("chunk"))
 
 
 @query("r29_uneven_split", f"WITH {DOCS} SELECT pos, CAST(ntile(7) OVER (ORDER BY pos) - 1 AS INTEGER) AS part FROM d")

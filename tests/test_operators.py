@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.functions import evidence, judgment
 from tessera.operators import balance, estimators, evaluation, losses, offpolicy, release, rows
+from tessera.plans import catalog
 from tessera.sources import files
 from tessera.streaming import evolution
 
@@ -196,6 +198,19 @@ def test_row_numbers_and_cuts(spark):
     assert rows.repeat_each(spark.createDataFrame([(0, 2), (1, 0)], "pos long, c int"), "c").count() == 2
 
 
+def _documents(spark, path, n):
+    spark.range(n).selectExpr("id AS doc_id", "'s' AS source", "'l' AS lang", "id AS n_chars").write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    return lambda name: (sorted(map(tuple, catalog.queries()[name](spark, str(path)).collect())), sorted(con.execute(catalog.oracle_sql()[name]).fetchall()))
+
+
+@pytest.mark.parametrize("n", [7, 8, 10])
+def test_chunk_query_takes_any_number_of_rows(spark, tmp_path, n):
+    mine, theirs = _documents(spark, tmp_path, n)("r6_chunk")
+    assert mine == theirs and len(mine) == n
+
+
 def test_tokens_fit(spark):
     x = spark.createDataFrame([([1, 2, 3, 4],), ([1],)], "t array<int>")
     assert [list(r[0]) for r in x.select(A.fit("t", 3, 0, "left", "left")).collect()] == [[2, 3, 4], [0, 0, 1]]
