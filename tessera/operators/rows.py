@@ -207,9 +207,9 @@ def size_report(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), *[F.sum(F.octet_length(F.to_json(F.struct(c)))).alias(c) for c in df.columns])
 
 
-def mini_batches(df: DataFrame, n: int, size: int, epochs: int = 1, seed: int | None = None, pos: str = "pos") -> DataFrame:
-    """Adds epoch and batch: each epoch deals all rows into batches, in order or shuffled by a seeded hash."""
-    if n % size:
+def mini_batches(df: DataFrame, n: int, size: int, epochs: int = 1, seed: int | None = None, pos: str = "pos", rest: bool = False) -> DataFrame:
+    """Adds epoch and batch: each epoch deals all rows into batches, in order or shuffled by a seeded hash. rest: an epoch's last batch may be smaller."""
+    if n % size and not rest:
         raise ValueError(f"{n} rows don't make batches of {size}")
     out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if seed is not None:

@@ -109,7 +109,7 @@ def response_mask(spark, sf):
 @query("r9_mini_batches", f"WITH {DOCS} SELECT CAST(e AS INTEGER) AS epoch, CAST(pos // 50 AS INTEGER) AS batch, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM d, range(2) AS g(e) GROUP BY ALL")
 def mini_batches(spark, sf):
     d = docs(spark, sf)
-    return R.mini_batches(d, d.count(), 50, 2).groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return R.mini_batches(d, d.count(), 50, 2, rest=True).groupBy("epoch", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("r14_drop_partial", f"WITH {DOCS}, b AS (SELECT CAST(pos // 64 AS INTEGER) AS batch, count(*) AS n FROM d GROUP BY 1) SELECT batch, n FROM b WHERE n = 64")

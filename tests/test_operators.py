@@ -211,6 +211,14 @@ def test_chunk_query_takes_any_number_of_rows(spark, tmp_path, n):
     assert mine == theirs and len(mine) == n
 
 
+@pytest.mark.parametrize("n", [7, 100, 132])
+def test_mini_batch_query_takes_any_number_of_rows(spark, tmp_path, n):
+    mine, theirs = _documents(spark, tmp_path, n)("r9_mini_batches")
+    assert mine == theirs and sum(r[2] for r in mine) == 2 * n
+    with pytest.raises(ValueError):
+        rows.mini_batches(spark.range(7).withColumnRenamed("id", "pos"), 7, 2)
+
+
 def test_tokens_fit(spark):
     x = spark.createDataFrame([([1, 2, 3, 4],), ([1],)], "t array<int>")
     assert [list(r[0]) for r in x.select(A.fit("t", 3, 0, "left", "left")).collect()] == [[2, 3, 4], [0, 0, 1]]
