@@ -41,12 +41,17 @@ def complete_steps(groups: DataFrame, step: str = "global_step", group: str = "u
 
 
 def active_version(rows: DataFrame, versions: DataFrame, key: str = "key", step: str = "global_step") -> DataFrame:
-    """Each row with the latest version committed before its step; a version counts from the step after its source."""
-    v = versions.select(F.col(key).alias("_k"), "version", "source_step", "rubric")
-    keys = [c for c in rows.columns]
-    met = rows.join(v, (F.col(key) == F.col("_k")) & (F.col("source_step") < F.col(step)), "left")
-    best = met.groupBy(*keys).agg(F.max_by(F.struct("version", "rubric"), "version").alias("_v"))
-    return best.select(*keys, F.coalesce(F.col("_v")["version"], F.lit(0)).alias("version"), F.col("_v")["rubric"].alias("rubric"))
+    """Each different row with the latest version committed before its step; a version counts from the step after its source.
+
+    Rows and versions of a key are put in order of steps, and the latest so far
+    is carried along: each is looked at once, however long a key's history is.
+    """
+    v = versions.filter(F.col(key).isNotNull() & F.col("source_step").isNotNull())
+    v = v.select(F.col(key).alias("_k"), F.col("source_step").alias("_t"), F.lit(1).alias("_after"), "version", F.struct("version", "rubric").alias("_v"))
+    own = rows.distinct().select(F.col(key).alias("_k"), F.col(step).alias("_t"), F.lit(0).alias("_after"), F.struct(*rows.columns).alias("_row"))
+    so_far = W.partitionBy("_k").orderBy("_t", "_after").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = own.unionByName(v, allowMissingColumns=True).withColumn("_v", F.max_by("_v", "version").over(so_far)).filter("_after = 0")
+    return met.select("_row.*", F.coalesce(F.col("_v")["version"], F.lit(0)).alias("version"), F.col("_v")["rubric"].alias("rubric"))
 
 
 def commit(versions: DataFrame, candidates: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:

@@ -318,6 +318,21 @@ def test_commit_and_resume(spark):
         evolution.complete_groups(spark.createDataFrame([("a",)] * 3, "uid string"), 2).collect()
 
 
+def test_active_version_looks_at_each_row_once(spark):
+    """Odd keys and steps as a join would take them, without making a row for each pair of one key."""
+    draw = random.Random(3)
+    versions = [(k, v, draw.choice([None, *range(12)]), f"r{k}{v}") for k in ("a", "b", None) for v in range(1, 20)] + [("c", None, 1, "none"), ("c", 4, 5, None)]
+    at = [(k, s, n) for n, (k, s) in enumerate([(k, s) for k in ("a", "b", "c", "d", None) for s in (None, *range(0, 14))])] * 2
+    want = set()
+    for k, s, n in at:
+        before = [(v, r) for q, v, t, r in versions if None not in (k, s, t, v) and q == k and t < s]
+        want.add((k, s, n, *max(before, default=(0, None), key=lambda x: x[0])))
+    out = evolution.active_version(spark.createDataFrame(at, "key string, global_step int, n int"), spark.createDataFrame(versions, "key string, version int, source_step long, rubric string"))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want and out.columns == ["key", "global_step", "n", "version", "rubric"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sequences_at_their_edges(spark):
     from tessera.functions import judgment as J
     from tessera.operators import sequences as S
