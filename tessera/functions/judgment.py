@@ -10,21 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"[\s 　]"
+BLANK = " \t\n\x0b\f\r\u00a0\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANK))
+
+
+def _parsed(text: Column) -> Column:
+    """``try_parse_json`` of text with nothing in front; a parse that fails takes long, so where no value starts like that it isn't tried."""
+    return F.when(text.rlike(r'^([{\["0-9-]|true|false|null)'), F.try_parse_json(text))
 
 
 def extract_json(text: Column) -> Column:
     """The JSON value in a model's answer: a fenced block or the whole text, else what lies between its first and last brace; null if neither parses."""
 
     def parsed(plain):
-        fenced = F.nullif(F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
-        braces = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
-        return F.coalesce(F.try_parse_json(F.coalesce(fenced, plain)), F.try_parse_json(braces))
+        fenced = F.when(F.contains(plain, F.lit("```")), F.nullif(F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit("")))
+        braces = F.when(F.contains(plain, F.lit("{")), F.regexp_extract(plain, r"(?s)(\{.*\})", 1))
+        return F.coalesce(let(F.coalesce(fenced, plain), _parsed), let(braces, _parsed))
 
     return let(strip(text), parsed)
 
@@ -78,7 +83,7 @@ def criterion_table(rubric: Column) -> Column:
 
 def _said(v: Column) -> Column:
     """The number that a value states: 10, 10.0, "10" and "10.0" all say ten; true doesn't."""
-    return F.coalesce(F.when(is_number(v), F.try_variant_get(v, "$", "double")), F.when(is_text(v), _text(v).try_cast("double")))
+    return F.when(kind(v) != "BOOLEAN", F.try_variant_get(v, "$", "double"))
 
 
 def _scores(judgment: Column) -> Column:
@@ -102,10 +107,11 @@ def _caps(rubric: Column) -> Column:
 
 
 def _rubric(rubric: Column) -> Column:
-    """All that is asked of a rubric, typed."""
+    """All that is asked of a rubric, typed, what is wrong with it and with its aggregation, and the sum of its maxima."""
     there = at(rubric, "$.reward_aggregation", "variant").isNotNull()
     kind_ = F.coalesce(at(rubric, "$.reward_aggregation.type", "string"), F.lit(""))
-    return F.struct(rubric.isNotNull().alias("json"), criterion_table(rubric).alias("criteria"), there.alias("there"), kind_.alias("kind"), _caps(rubric).alias("caps"))
+    typed = F.struct(rubric.isNotNull().alias("json"), criterion_table(rubric).alias("criteria"), there.alias("there"), kind_.alias("kind"), _caps(rubric).alias("caps"))
+    return let(typed, lambda r: F.struct(r["criteria"].alias("criteria"), r["caps"].alias("caps"), _rubric_problem(r).alias("problem"), _aggregation_problem(r).alias("aggregation"), _sum(r["criteria"], "max").alias("best")))
 
 
 def _judgment(judgment: Column) -> Column:
@@ -144,16 +150,9 @@ def _aggregation_problem(r: Column) -> Column:
 
 def _judgment_problem(r: Column, j: Column) -> Column:
     c, s = r["criteria"], j["scores"]
-    pairs = F.zip_with(c, s, lambda a, b: F.struct(a["id"].alias("want"), a["max"].alias("max"), b["id"].alias("id"), b["score"].alias("score"), b["reasoned"].alias("reasoned")))
-    return (
-        F.when(_rubric_problem(r).isNotNull(), "bad rubric")
-        .when(~j["json"], "not JSON")
-        .when(s.isNull() | (F.size(s) != F.size(c)), "wrong number of scores")
-        .when(F.exists(pairs, lambda p: F.coalesce(p["id"] != p["want"], F.lit(True))), "wrong id")
-        .when(F.exists(pairs, lambda p: p["score"].isNull()), "score is not an integer")
-        .when(F.exists(pairs, lambda p: (p["score"] < 0) | (p["score"] > p["max"])), "score out of bounds")
-        .when(F.exists(pairs, lambda p: ~p["reasoned"]), "blank reason")
-    )
+    pairs = F.zip_with(c, s, lambda a, b: F.when(F.coalesce(b["id"] != a["id"], F.lit(True)), 1).when(b["score"].isNull(), 2).when((b["score"] < 0) | (b["score"] > a["max"]), 3).when(~b["reasoned"], 4))
+    first = let(F.array_min(pairs), lambda k: F.when(k == 1, "wrong id").when(k == 2, "score is not an integer").when(k == 3, "score out of bounds").when(k == 4, "blank reason"))
+    return F.when(r["problem"].isNotNull(), "bad rubric").when(~j["json"], "not JSON").when(s.isNull() | (F.size(s) != F.size(c)), "wrong number of scores").otherwise(first)
 
 
 def _sum(items: Column, field: str) -> Column:
@@ -161,7 +160,7 @@ def _sum(items: Column, field: str) -> Column:
 
 
 def _raw_score(r: Column, j: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _sum(j["scores"], "score") / _sum(r["criteria"], "max")))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _sum(j["scores"], "score") / r["best"]))
 
 
 def _was_normalized(r: Column, j: Column) -> Column:
@@ -169,7 +168,7 @@ def _was_normalized(r: Column, j: Column) -> Column:
         return ~F.coalesce(said == want.cast("double"), F.lit(False))
 
     maxima = F.exists(F.zip_with(r["criteria"], j["scores"], lambda a, b: other(b["max"], a["max"])), lambda x: x)
-    return maxima | other(j["total"], _sum(j["scores"], "score")) | other(j["best"], _sum(r["criteria"], "max"))
+    return maxima | other(j["total"], _sum(j["scores"], "score")) | other(j["best"], r["best"])
 
 
 def _apply_caps(r: Column, j: Column, raw: Column) -> Column:
@@ -185,18 +184,26 @@ def _apply_caps(r: Column, j: Column, raw: Column) -> Column:
 
 
 def _both(rubric: Column, judgment: Column, body) -> Column:
-    typed = let(F.struct(rubric.alias("r"), judgment.alias("j")), lambda x: F.struct(_rubric(x["r"]).alias("r"), _judgment(x["j"]).alias("j")))
-    return let(typed, lambda x: body(x["r"], x["j"]))
+    return let(rubric, lambda r: _beside(_rubric(r), judgment, body))
+
+
+def _beside(typed: Column, judgment: Column, body) -> Column:
+    return let(F.struct(typed.alias("r"), let(judgment, _judgment).alias("j")), lambda x: body(x["r"], x["j"]))
+
+
+def typed_rubric(rubric: Column) -> Column:
+    """A rubric as ``reward_by`` and ``problem_by`` take it; many judgments of one rubric can share it."""
+    return let(rubric, _rubric)
 
 
 def rubric_problem(rubric: Column) -> Column:
     """Null for a sound rubric, else what is wrong first: its criteria must be a list, not empty, with different ids that aren't blank and positive whole maxima."""
-    return let(let(rubric, _rubric), _rubric_problem)
+    return typed_rubric(rubric)["problem"]
 
 
 def aggregation_problem(rubric: Column) -> Column:
     """Null where a rubric has no aggregation or a sound one: sums with caps, each on a known criterion, within bounds."""
-    return let(let(rubric, _rubric), _aggregation_problem)
+    return typed_rubric(rubric)["aggregation"]
 
 
 def judgment_problem(rubric: Column, judgment: Column) -> Column:
@@ -204,6 +211,11 @@ def judgment_problem(rubric: Column, judgment: Column) -> Column:
     return _both(rubric, judgment, _judgment_problem)
 
 
+def problem_by(typed: Column, judgment: Column) -> Column:
+    """``judgment_problem`` by a ``typed_rubric``."""
+    return _beside(typed, judgment, _judgment_problem)
+
+
 def score_table(judgment: Column) -> Column:
     """Typed scores (id, score)."""
     return F.transform(at(judgment, "$.criteria_scores", SCORE), lambda s: F.struct(_text(s["id"]).alias("id"), _int(s["score"]).alias("score")))
@@ -229,7 +241,15 @@ def reward(rubric: Column, judgment: Column) -> Column:
 
     Rubric and judgment are typed once; all rules read the typed values.
     """
+    return _both(rubric, judgment, _reward)
+
+
+def reward_by(typed: Column, judgment: Column) -> Column:
+    """``reward`` by a ``typed_rubric``."""
+    return _beside(typed, judgment, _reward)
+
 
+def _reward(r: Column, j: Column) -> Column:
     def scored(r, j, problem):
         ok = problem.isNull()
         empty = F.array().cast("array<string>")
@@ -239,7 +259,7 @@ def reward(rubric: Column, judgment: Column) -> Column:
             F.coalesce(c["caps"]["binding"], empty).alias("binding"), F.coalesce(F.when(ok, _was_normalized(r, j)), F.lit(False)).alias("normalized"),
         ))
 
-    return _both(rubric, judgment, lambda r, j: let(F.coalesce(_judgment_problem(r, j), _aggregation_problem(r)), lambda problem: scored(r, j, problem)))
+    return let(F.coalesce(_judgment_problem(r, j), r["aggregation"]), lambda problem: scored(r, j, problem))
 
 
 def criterion_json(judgment: Column) -> Column:

@@ -236,6 +236,22 @@ def test_judgment_maxima(spark, maximum, normalized):
     assert (r.valid, round(r.raw, 6), r.score, list(r.binding), r.normalized) == (1, round(11 / 15, 6), 0.6, ["c1"], normalized)
 
 
+def _plan(spark, name):
+    return catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rubric_is_typed_once(spark):
+    assert not any("max_points" in line and "l_orderkey" in line for line in _plan(spark, "v7_reward").splitlines())
+    bad = RUBRIC.replace('"max_points":5', '"max_points":"5"')
+    text = '{"criteria_scores":[{"id":"c1","score":7,"max":"10.0","reason":"r"},{"id":"c2","score":4,"max":5,"reason":"　r"}],"total_score":11,"total_max":15}'
+    texts = [text, f"say {text} so", f"```json\n{text}```", text.replace('"　r"', '"　 "'), text.replace("7,", "7.0,"), "nothing", "{", "", None]
+    df = spark.createDataFrame([(r, j) for r in (RUBRIC, bad, "none") for j in texts], "r string, j string")
+    r, j = F.try_parse_json("r"), judgment.extract_json(F.col("j"))
+    got = df.select(judgment.reward(r, j).alias("x"), judgment.reward_by(judgment.typed_rubric(r), j).alias("y")).collect()
+    assert all(g.x == g.y for g in got)
+    assert [g.x.problem for g in got] == [None] * 3 + ["blank reason", "score is not an integer"] + ["not JSON"] * 4 + ["bad rubric"] * 18
+
+
 def test_evidence():
     assert evidence.quoted("Ｆｕｌｌ width … END", "a FULL-width thing with an end.") and not evidence.quoted("end … full", "full end") and not evidence.quoted("…", "x")
     good = '{"a":[{"id":"a.1","status":"pass","evidence":["x"]}]}'
