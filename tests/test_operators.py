@@ -252,6 +252,11 @@ def test_rubric_is_typed_once(spark):
     assert [g.x.problem for g in got] == [None] * 3 + ["blank reason", "score is not an integer"] + ["not JSON"] * 4 + ["bad rubric"] * 18
 
 
+def test_criterion_json_judges_each_text_once(spark):
+    plan = _plan(spark, "v8_criterion_json")
+    assert plan.count("parseJson") == 2 and not any("max_points" in line and "l_orderkey" in line for line in plan.splitlines())
+
+
 def test_evidence():
     assert evidence.quoted("Ｆｕｌｌ width … END", "a FULL-width thing with an end.") and not evidence.quoted("end … full", "full end") and not evidence.quoted("…", "x")
     good = '{"a":[{"id":"a.1","status":"pass","evidence":["x"]}]}'
