@@ -347,38 +347,48 @@ def split_criteria(criteria: Column, saturated: Column) -> Column:
     return F.struct(F.transform(saturated, pick).alias("saturated"), F.filter(criteria, lambda c: ~F.array_contains(saturated, c["id"])).alias("retained"))
 
 
-def _has_keys(value: Column, *names: str) -> Column:
-    got = F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
-    return F.coalesce(got == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
+def _fields(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def _has_keys(fields: Column, *names: str) -> Column:
+    got = F.size(fields) == len(names)
+    for n in names:
+        got = got & F.map_contains_key(fields, n)
+    return F.coalesce(got, F.lit(False))
 
 
 def score_matrix_problem(criteria: Column, payload: Column, responses: Column) -> Column:
     """Null for a matrix {"criteria": [{id, scores: [{rollout_id, score, reason}]}]} with the criteria (id, max) in
     order, a score of each of R0, R1, ... in order, whole and within bounds, and reasons that aren't blank; else what
     is wrong. Keys other than these are wrong."""
-    rows = at(payload, "$.criteria", "array<variant>")
-
-    def typed(v):
-        scores = at(v, "$.scores", "array<variant>")
-        cell = lambda x: F.struct(_has_keys(x, "rollout_id", "score", "reason").alias("shape"), at(x, "$.rollout_id", "string").alias("id"), F.when(is_integer(at(x, "$.score", "variant")), at(x, "$.score", "bigint")).alias("score"), F.coalesce(is_text(at(x, "$.reason", "variant")) & (F.length(strip(at(x, "$.reason", "string"))) > 0), F.lit(False)).alias("reasoned"))
-        return F.struct(_has_keys(v, "id", "scores").alias("shape"), F.when(is_text(at(v, "$.id", "variant")), at(v, "$.id", "string")).alias("id"), F.transform(scores, cell).alias("scores"))
-
-    def problem(t):
-        pairs = F.zip_with(criteria, t, lambda c, x: F.struct(c["id"].alias("want"), c["max"].alias("max"), x.alias("row")))
-        cells = lambda test: F.exists(pairs, lambda p: F.exists(p["row"]["scores"], lambda x: test(p, x)))
-        order = lambda p: F.transform(p["row"]["scores"], lambda x, i: F.coalesce(x["id"] != F.concat(F.lit("R"), i.cast("string")), F.lit(True)))
-        return (
-            F.when(t.isNull() | (F.size(t) != F.size(criteria)), "wrong number of criteria")
-            .when(F.exists(t, lambda x: ~x["shape"]), "wrong shape of a criterion")
-            .when(F.exists(pairs, lambda p: F.coalesce(p["row"]["id"] != p["want"], F.lit(True))), "wrong criterion")
-            .when(F.exists(t, lambda x: F.coalesce(F.size(x["scores"]) != responses, F.lit(True)) | x["scores"].isNull()), "wrong number of scores")
-            .when(cells(lambda p, x: ~x["shape"]), "wrong shape of a score")
-            .when(F.exists(pairs, lambda p: F.exists(order(p), lambda x: x)), "wrong response")
-            .when(cells(lambda p, x: F.coalesce((x["score"] < 0) | (x["score"] > p["max"]), F.lit(True))), "score out of bounds")
-            .when(cells(lambda p, x: ~x["reasoned"]), "blank reason")
-        )
+    value = lambda m, k: F.try_element_at(m, F.lit(k))
+
+    def cell(m, i, best):
+        """The number of the first thing that is wrong with a score, null if nothing is."""
+        scored = let(value(m, "score"), lambda v: F.coalesce(is_integer(v) & let(_int(v), lambda x: (x >= 0) & (x <= best)), F.lit(False)))
+        reasoned = let(value(m, "reason"), lambda v: F.coalesce(is_text(v) & (F.length(strip(_text(v))) > 0), F.lit(False)))
+        other = F.coalesce(_text(value(m, "rollout_id")) != F.concat(F.lit("R"), i.cast("string")), F.lit(True))
+        return F.when(~_has_keys(m, "rollout_id", "score", "reason"), 4).when(other, 5).when(~scored, 6).when(~reasoned, 7)
+
+    def row(m, c):
+        other = let(value(m, "id"), lambda v: F.coalesce(~is_text(v) | (_text(v) != c["id"]), F.lit(True)))
+
+        def among(scores):
+            cells = F.transform(scores, lambda v, i: let(_fields(v), lambda m: cell(m, i, c["max"])))
+            return F.when(scores.isNull() | F.coalesce(F.size(scores) != responses, F.lit(True)), 3).otherwise(F.array_min(cells))
+
+        return F.when(~_has_keys(m, "id", "scores"), 1).when(other, 2).otherwise(let(F.try_variant_get(value(m, "scores"), "$", "array<variant>"), among))
+
+    def problem(rows):
+        first = let(F.array_min(F.zip_with(criteria, rows, lambda c, v: let(_fields(v), lambda m: row(m, c)))), lambda k: F.get(F.array(*map(F.lit, MATRIX_PROBLEMS)), k - 1))
+        return F.when(rows.isNull() | (F.size(rows) != F.size(criteria)), "wrong number of criteria").otherwise(first)
+
+    whole = lambda m: F.when(~_has_keys(m, "criteria"), "wrong shape").otherwise(let(F.try_variant_get(value(m, "criteria"), "$", "array<variant>"), problem))
+    return let(_fields(payload), whole)
+
 
-    return F.when(~_has_keys(payload, "criteria"), "wrong shape").otherwise(let(F.transform(rows, typed), problem))
+MATRIX_PROBLEMS = ("wrong shape of a criterion", "wrong criterion", "wrong number of scores", "wrong shape of a score", "wrong response", "score out of bounds", "blank reason")
 
 
 def finite(value: Column) -> Column:

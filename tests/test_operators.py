@@ -257,6 +257,23 @@ def test_criterion_json_judges_each_text_once(spark):
     assert plan.count("parseJson") == 2 and not any("max_points" in line and "l_orderkey" in line for line in plan.splitlines())
 
 
+def test_score_matrix_looks_at_a_cell_once(spark):
+    """The first rule that some row or cell breaks is named, wherever it stands; each cell is taken apart once."""
+    assert _plan(spark, "v16_score_matrix").count("map<string,variant>") <= 3 and "array_sort" not in _plan(spark, "v16_score_matrix")
+    cell = lambda k, score=1, reason='"r"': f'{{"rollout_id":"R{k}","score":{score},"reason":{reason}}}'
+    row = lambda name, *cells: f'{{"id":"{name}","scores":[{",".join(cells)}]}}'
+    good = row("b", cell(0), cell(1))
+    cases = [
+        ([row("a", cell(0), cell(1)), good], None), ([row("a", cell(0, 1, '" "'), cell(1, 9)), good], "score out of bounds"), ([row("a", cell(0, "1.0"), cell(1)), row("b", cell(1), cell(0))], "wrong response"),
+        ([row("a", cell(1), cell(1)), row("b", cell(0), "7")], "wrong shape of a score"), ([row("a", "7", "7"), row("b")], "wrong number of scores"), ([row("a"), row("c", cell(0), cell(1))], "wrong criterion"),
+        ([row("c"), '{"id":"b"}'], "wrong shape of a criterion"), ([good], "wrong number of criteria"), ([row("a", cell(0), cell(1, 1, "null")), good], "blank reason"),
+    ]
+    criteria = F.array(*[F.struct(F.lit(c).alias("id"), F.lit(2).cast("long").alias("max")) for c in "ab"])
+    df = spark.createDataFrame([(n, f'{{"criteria":[{",".join(c)}]}}') for n, (c, _) in enumerate(cases)], "n int, t string")
+    got = df.select("n", judgment.score_matrix_problem(criteria, F.parse_json("t"), F.lit(2)).alias("x")).orderBy("n").collect()
+    assert [r.x for r in got] == [w for _, w in cases]
+
+
 def test_evidence():
     assert evidence.quoted("Ｆｕｌｌ width … END", "a FULL-width thing with an end.") and not evidence.quoted("end … full", "full end") and not evidence.quoted("…", "x")
     good = '{"a":[{"id":"a.1","status":"pass","evidence":["x"]}]}'
