@@ -25,10 +25,13 @@ def numbered(df: DataFrame, *order: str, name: str = "pos", parts: int | None =
     n = parts or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = df.select(*order).stat.approxQuantile(order[0], [i / n for i in range(1, n)], 0.001) if n > 1 and dict(df.dtypes)[order[0]] in ("bigint", "int", "double", "float") else []
     edges = sorted(set(bounds))
-    part = F.lit(0)
-    for e in edges:
-        part = part + (F.col(order[0]) > e).cast("int")
-    own = df.withColumn("_part", part)
+
+    def among(low: int, high: int) -> Column:
+        """How many edges lie below, by halving: a row is held against few of them, however many there are."""
+        mid = (low + high) // 2
+        return F.lit(low) if low == high else F.when(F.col(order[0]) > edges[mid], among(mid + 1, high)).otherwise(among(low, mid))
+
+    own = df.withColumn("_part", among(0, len(edges)))
     counts = own.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     ranked = own.withColumn("_r", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)

@@ -356,6 +356,14 @@ def test_commit_and_resume(spark):
         evolution.complete_groups(spark.createDataFrame([("a",)] * 3, "uid string"), 2).collect()
 
 
+def test_numbers_by_many_parts(spark):
+    """A row is held against the logarithm of the edges; missing values come first and no row is lost."""
+    values = [None, *(float(k * 37 % 101) for k in range(300)), float("nan")]
+    df = rows.numbered(spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, v double"), "v", "id", parts=64)
+    want = sorted(range(len(values)), key=lambda k: (values[k] is not None, math.isnan(values[k] or 0), values[k] if k < 301 else 0, k))
+    assert [r.id for r in df.orderBy("pos").collect()] == want and [r.pos for r in df.orderBy("pos").collect()] == list(range(len(values)))
+
+
 def test_active_version_looks_at_each_row_once(spark):
     """Odd keys and steps as a join would take them, without making a row for each pair of one key."""
     draw = random.Random(3)
